@@ -26,6 +26,31 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return key_pairs(*near_copies(texts))
 
 
+def _skills(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "resume_lines").where("source = 'skill'").select(F.lit("resume_lines").alias("tab"), F.col("line_id").alias("row_key"), F.col("raw_text").alias("value"))
+    return lines.unionByName(table(spark, folder, "unmatched_terms").select(F.lit("unmatched_terms").alias("tab"), F.col("row_id").alias("row_key"), F.col("term").alias("value")))
+
+
+def _mapped(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.canonical import map_values
+
+    forms = table(spark, folder, "surface_forms").select(F.col("cluster_id").alias("target"), F.col("form").alias("entry"))
+    return map_values(_skills(spark, folder), forms)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    own = F.lower(F.trim(F.regexp_replace("value", r"(?U)\s+", " ")))
+    known = F.lower(F.trim(F.regexp_replace("entry", r"(?U)\s+", " ")))
+    meant = _mapped(spark, folder).where("target is not null").where(own != known)
+    return meant.select("tab", "row_key", F.col("target").alias("cluster_id")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean none of the forms, with the number of their rows."""
+    none = _mapped(spark, folder).where("target is null and normal <> ''")
+    return none.groupBy("tab", F.col("normal").alias("value")).agg(F.count("*").alias("rows"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from vitaeloom.llm.lookalikes import lookalike_pairs
 
@@ -42,5 +67,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return mark_terms(term_frequency(log, "row_id", "submission_id", "term", "term_count"), log.select("submission_id"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.leakage import item_passages, leaked_items
+
+    items = item_passages(table(spark, folder, "eval_items"), "item_id", ["question", "reference_answer"])
+    found = leaked_items(table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text"), items)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("p") and k[1].isdigit()}
