@@ -75,5 +75,24 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from vitaeloom.llm.abuse import score_documents
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return docs, score_documents(docs, table(spark, folder, "abuse_labels"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, scored = _scored(spark, folder)
+    return scored.where("score >= 0.5").select("doc_id").distinct()
+
+
+def p9_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.abuse import source_rates
+
+    docs, scored = _scored(spark, folder)
+    return source_rates(scored, docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("p") and k[1].isdigit()}
