@@ -26,6 +26,27 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return key_pairs(*near_copies(texts))
 
 
+def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    from vitaeloom.llm.pii import find_spans, first_names
+
+    resumes, jobs = table(spark, folder, "resumes"), table(spark, folder, "jobs")
+    part = lambda df, tab, key, col: df.select(F.lit(f"{tab}.{col}").alias("field"), F.col(key).alias("rec_id"), F.col(col).alias("text"), F.lit(tab == "jobs").alias("is_json"))
+    texts = part(resumes, "resumes", "resume_id", "raw_text").unionByName(part(resumes, "resumes", "resume_id", "email")).unionByName(part(resumes, "resumes", "resume_id", "phone"))
+    texts = texts.unionByName(part(jobs, "jobs", "id", "input_json").dropDuplicates(["rec_id"]))
+    return texts, find_spans(texts, first_names(resumes, "full_name"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, spans = _personal(spark, folder)
+    return spans.select("field", "rec_id", "pii_kind", "pii_value").distinct()
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.pii import redact
+
+    return redact(*_personal(spark, folder))
+
+
 def _skills(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "resume_lines").where("source = 'skill'").select(F.lit("resume_lines").alias("tab"), F.col("line_id").alias("row_key"), F.col("raw_text").alias("value"))
     return lines.unionByName(table(spark, folder, "unmatched_terms").select(F.lit("unmatched_terms").alias("tab"), F.col("row_id").alias("row_key"), F.col("term").alias("value")))
