@@ -96,6 +96,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p8_mix_copies(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents").select("doc_id", "source", "text"), table(spark, folder, "mix_targets"))
+
+
+def p8_mix_report(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.mixing import mix_report
+
+    return mix_report(p8_mix_copies(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     from vitaeloom.llm.abuse import score_documents
 
