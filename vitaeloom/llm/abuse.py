@@ -250,9 +250,11 @@ def label_sentences(docs: list[list[str]], verdicts: list[int], reader: Features
         hot, cold = np.bincount(flat, p[owner], len(numbers)), np.bincount(flat, 1 - p[owner], len(numbers))
         # Smoothed towards the shares of the classes, so that what was never seen says nothing.
         share = max(p.mean(), 1e-6)
-        weight = np.log((hot + share) / share) - np.log((cold + 1 - share) / (1 - share))
+        # A sentence is judged by the others that share its words, not by itself.
+        others_hot, others_cold = hot[flat] - p[owner], cold[flat] - (1 - p[owner])
+        weight = np.log((others_hot + share) / share) - np.log((others_cold + 1 - share) / (1 - share))
         # Words of a sentence depend on each other: the evidence counts as that of a few words.
-        evidence = np.bincount(owner, np.clip(weight, -4, 4)[flat], len(bags)) / size * np.minimum(size, 6)
+        evidence = np.bincount(owner, np.clip(weight, -4, 4), len(bags)) / size * np.minimum(size, 6)
         p = np.where(suspect, 1 / (1 + np.exp(-np.clip(evidence + np.log(prior_ / (1 - prior_)), -30, 30))), 0.0)
     out, k = [], 0
     for spans in place:
