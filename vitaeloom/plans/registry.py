@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitaeloom.plans import oracle
+from vitaeloom.plans import queries as q
+
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    return q.job_scores(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return q.all_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
