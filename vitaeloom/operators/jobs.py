@@ -43,8 +43,10 @@ def job_lines(unpacked: DataFrame) -> DataFrame:
     return rows.withColumn("clusters", F.coalesce("clusters", F.array().cast("array<string>")))
 
 
-def expired(now: Column, status: Column = F.col("status"), updated: Column = F.col("updated_at"), finished_days: int = 30, unpaid_days: int = 7) -> Column:
+def expired(now: Column, status: Column | None = None, updated: Column | None = None, finished_days: int = 30, unpaid_days: int = 7) -> Column:
     """Is a row past its retention? Finished rows after 30 days, unpaid ones after 7, strictly; others never."""
+    status = F.col("status") if status is None else status
+    updated = F.col("updated_at") if updated is None else updated
     age = lambda days: updated < now - F.expr(f"interval {days} days")
     return F.coalesce((status.isin("done", "failed") & age(finished_days)) | ((status == "awaiting_payment") & age(unpaid_days)), F.lit(False))
 

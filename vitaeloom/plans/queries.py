@@ -15,9 +15,6 @@ from vitaeloom.session import table
 from vitaeloom.sources import dimensions
 from vitaeloom.streaming import limiter
 
-EMPTY = F.array().cast("array<string>")
-
-
 def _forms(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     return matching.compile_taxonomy(table(spark, folder, "surface_forms"))
 
@@ -25,7 +22,7 @@ def _forms(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of resumes, each once, with their clusters."""
     rows = table(spark, folder, "resume_lines").dropDuplicates(["line_id"])
-    return rows.withColumn("clusters", F.coalesce("matched_clusters", EMPTY)).drop("matched_clusters")
+    return rows.withColumn("clusters", F.coalesce("matched_clusters", F.array().cast("array<string>"))).drop("matched_clusters")
 
 
 def _jobs(spark: SparkSession, folder: str) -> DataFrame:
