@@ -7,6 +7,7 @@ stay null everywhere; empty texts stay empty.
 from __future__ import annotations
 
 import functools
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,9 +24,11 @@ MOJIBAKE = (
 
 
 def _nfkc(texts: pa.Array) -> pa.Array:
-    if pc.all(pc.fill_null(pc.string_is_ascii(texts), True)).as_py():
+    odd = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    picked = texts.filter(odd)
+    if not len(picked):
         return texts
-    return pc.utf8_normalize(texts, form="NFKC")
+    return pc.replace_with_mask(texts, odd, pa.array([unicodedata.normalize("NFKC", t) for t in picked.to_pylist()], texts.type))
 
 
 @functools.cache
@@ -34,7 +37,7 @@ def _nfkc_udf():
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; batches of ASCII pass through untouched."""
+    """Compatibility composition; ASCII texts pass through untouched."""
     return _nfkc_udf()(text)
 
 

@@ -42,7 +42,7 @@ def split_accepted(files: DataFrame, most: int = MOST_BYTES) -> tuple[DataFrame,
 
 def read_text(files: DataFrame) -> DataFrame:
     """(path, text) of text files, as UTF-8 with replacement of what isn't."""
-    return files.where("file_format = 'text'").select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where("file_format = 'text'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def docx_parts(data: bytes) -> dict:
