@@ -91,7 +91,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, tota
     if not reach:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, tokens bigint, rate double, copies int")
     size = total if total is not None else fill * min(reach)
-    goals = {s: min(share * size, caps[s] * have[s]) for s, (share, _) in wanted.items() if s in have}
+    goals = {s: min(share * size, float(caps[s] * have[s])) for s, (share, _) in wanted.items() if s in have}
     tilts = tilt(table, caps, goals)
     known = spark.createDataFrame([(s, *tilts[s], float(caps[s]), goals[s]) for s in tilts if s in goals], "source string, at double, scale double, cap double, goal double")
     noise = F.pmod(F.xxhash64("doc_id", "source", "tokens"), F.lit(1 << 30)) / float(1 << 30)

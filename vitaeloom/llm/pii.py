@@ -8,7 +8,7 @@ maximisation over the counts of all vote patterns estimates how reliable each la
 posteriors train a logistic span classifier on votes and shapes, which takes the decision.
 
 JSON fields are read value by value after decoding. Texts are read in their one form (codepoints).
-Defined results: null, empty and unparsable values have no spans (unparsable JSON is read as text); of
+Defined results: null and empty values and rows without a key have no spans, unparsable JSON is read as text; of
 overlapping spans the surer one is kept for the placeholders; equal values of one record are one row.
 """
 
@@ -57,16 +57,16 @@ DOT = r"(?:\.|\s?[\(\[\{]\s?dot\s?[\)\]\}]\s?|\sdot\s)"
 EMAIL = re.compile(rf"(?i)(?<![\w.+-])([a-z0-9_][\w.+-]*)({AT})([a-z0-9-]+(?:{DOT}[a-z0-9-]+)*{DOT}[a-z]{{2,}})(?![\w-])")
 PHONE = re.compile(r"(?<![\w.+/-])\+?\(?\d{1,12}\)?(?:(?:[ ./-]|\s?(?=\()|(?<=\)))\s?\(?\d{1,12}\)?){0,7}(?![\w])")
 STREETS = [
-    re.compile(rf"(?i)(?<![\w.,/-])(\d{{1,5}}\s?[a-z]?)\s+((?:[^\W\d_][\w'’-]*\s+){{1,3}}?(?:{'|'.join(STREET_AFTER)})\b\.?|(?:{'|'.join(STREET_BEFORE)})\s+[^\W\d_][\w'’-]*)(?![\w-])"),
-    re.compile(rf"(?i)(?<![\w-])([^\W\d_][\w’'-]*(?:{'|'.join(STREET_END)})\.?)\s+(\d{{1,5}}\s?[a-z]?)\b(?![\w.-]\d)"),
-    re.compile(rf"(?i)(?<![\w-])((?:{'|'.join(STREET_BEFORE)})\s+(?:(?:de|del|della|di|du|des|la|le|los|las)\s+)*[^\W\d_][\w’'-]*(?:\s[^\W\d_][\w’'-]*)?)\s+(\d{{1,5}}[a-z]?)\b"),
+    re.compile(rf"(?i)(?<![\w.,/-])(\d{{1,5}}[ \t]?[a-z]?)[ \t]+((?:[^\W\d_][\w'’-]*[ \t]+){{1,3}}?(?:{'|'.join(STREET_AFTER)})\b\.?|(?:{'|'.join(STREET_BEFORE)})[ \t]+[^\W\d_][\w'’-]*)(?![\w-])"),
+    re.compile(rf"(?i)(?<![\w-])([^\W\d_][\w’'-]*(?:{'|'.join(STREET_END)})\.?)[ \t]+(\d{{1,5}}[ \t]?[a-z]?)\b(?![\w.-]\d)"),
+    re.compile(rf"(?i)(?<![\w-])((?:{'|'.join(STREET_BEFORE)})[ \t]+(?:(?:de|del|della|di|du|des|la|le|los|las)[ \t]+)*[^\W\d_][\w’'-]*(?:[ \t][^\W\d_][\w’'-]*)?)[ \t]+(\d{{1,5}}[a-z]?)\b"),
 ]
 CAPITAL = r"[^\W\d_a-zß-öø-ÿ][\w’'-]*\.?"
 NAME = re.compile(rf"{CAPITAL}(?: {CAPITAL}){{1,4}}")
-NAME_BEFORE = re.compile(r"(?i)(?:\b(?:reference|referee|refs?|contact|manager|supervisor|mentor|recruiter|c/o|go to|name|attn|written by|ask for|speak to|call|mr|mrs|ms|dr)\b\.?:?\s*|c/o\s*|:\s*)$")
+NAME_BEFORE = re.compile(r"(?i)(?:\b(?:reference|referee|refs?|contact|manager|supervisor|mentor|recruiter|c/o|go to|name|attn|written by|ask for|speak to|call|mr|mrs|ms|dr)\b\.?:?\s*|c/o\s*)$")
 NAME_AFTER = re.compile(r"^\s*(?:<|,|\(|will\b|$|\n|[-–|·/])")
-PHONE_WORD = re.compile(r"(?i)(?:tel|phone|mobile|cell|ring|call|fax|contact|reached under|whatsapp|handy|telefon|t|m)\b[^\n\d]{0,40}$")
-MAIL_WORD = re.compile(r"(?i)(?:mail|write to|contact|go to|mailto|reach)\b[^\n@]{0,60}$")
+PHONE_WORD = re.compile(r"(?i)\b(?:tel|phone|mobile|cell|ring|call|fax|contact|reached under|whatsapp|handy|telefon|t|m)\b[^\n\d]{0,40}$")
+MAIL_WORD = re.compile(r"(?i)\b(?:e-?mail|write to|contact|go to|mailto|reach)\b[^\n@]{0,60}$")
 COUNT_AFTER = re.compile(r"(?i)^\s*(?:rows|calls|records|sites|users|hours|hrs|days|cases|nodes|gb|mb|tb|%|percent|euro|eur|usd|pages|cases|items|weeks|months|years|requests|lines|to\s+\d|k\b)")
 DATES = re.compile(r"^\(?(?:19|20)\d\d[ ./-](?:0?[1-9]|1[0-2])?(?:[ ./-]\d{1,2})?")
 
@@ -159,14 +159,15 @@ class Finder:
             line = before.rpartition("\n")[2]
             groups = [len(g) for g in re.findall(r"\d+", raw)]
             trunk = raw.startswith(("+", "0", "(0", "(")) or groups[:3] == [1, 3, 3]
+            labelled = any(a <= m.start() < b for a, b in ids)
             american = groups[-3:] == [3, 3, 4] or groups == [10]
             votes = [
-                1 if trunk else 0,
+                1 if trunk and not labelled else 0,
                 1 if american else -1 if groups == [3] * len(groups) or len(groups) > 2 and groups[1:] == [3] * (len(groups) - 1) and not trunk else 0,
                 1 if PHONE_WORD.search(line) or role in ("phone", "email") else 0,
                 -1 if COUNT_AFTER.match(after) or re.search(r"(?i)(?:from|moved|version|build|ticket|no\.|between|to)\s*$", line) and "under" not in line else 0,
-                -1 if any(a <= m.start() < b for a, b in ids) else 0,
-                -1 if DATES.match(raw) else 1 if len(digits) >= 10 and (trunk or american) else -1,
+                -1 if labelled else 0,
+                -1 if DATES.match(raw) or labelled else 1 if len(digits) >= 10 and (trunk or american) else -1,
             ]
             out.append((m.start(), m.start() + len(raw), "phone", digits, votes, "phone" + _shape(raw)))
         return out
@@ -199,7 +200,7 @@ class Finder:
         whole = role.endswith("name") and not role.endswith(("projects.name", "file_name"))
         if role.endswith(("company", "institution", "position", "location", "degree", "status", "check_name", "requirement_type", "dates", "start_date", "end_date")):
             return out
-        head = text.split("\n", 1)[0].strip() if role.endswith("raw_text") else text.strip() if whole else ""
+        head = text.split("\n", 1)[0].strip() if role in ("raw_text", "resume.raw_text") else text.strip() if whole else ""
         heads = {head} if head else set()
         for m in NAME.finditer(text):
             words = m[0].split(" ")
@@ -273,28 +274,27 @@ def proposals(texts: DataFrame, names: frozenset[str]) -> DataFrame:
                         cols[c].append(v)
             yield pd.DataFrame(cols)
 
-    return texts.where("text is not null and rec_id is not null").mapInPandas(run, "field string, rec_id string, part int, start int, end int, pii_kind string, pii_value string, votes array<tinyint>, shape int")
+    return texts.where("text is not null and rec_id is not null and field is not null").mapInPandas(run, "field string, rec_id string, part int, start int, end int, pii_kind string, pii_value string, votes array<tinyint>, shape int")
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over vote patterns (n, voters in -1, 0, 1): posteriors of the patterns, reliabilities (2, voters, 3), share of true spans."""
+    """EM over vote patterns (n, voters in -1, 0, 1): posteriors of the patterns, accuracies of the voters, share of true spans.
+
+    A voter that casts a vote is right with its own probability, whatever the truth; not voting says
+    nothing. Voters are believed to be better than chance, so that the two classes can't change places.
+    """
     weight = counts.astype(float)
     p = 1 / (1 + np.exp(-1.5 * patterns.sum(1)))
-    rates, share = None, 0.5
-    index = patterns + 1
+    right, share = np.full(patterns.shape[1], 0.8), 0.5
     for _ in range(rounds):
-        share = float(np.clip((p * weight).sum() / weight.sum(), 0.02, 0.98))
-        rates = np.empty((2, patterns.shape[1], 3))
-        for y, q in ((1, p * weight), (0, (1 - p) * weight)):
-            for v in range(patterns.shape[1]):
-                for s in range(3):
-                    # Each labeler is believed to be better than chance before the data say more.
-                    prior = 2.0 if s == 1 else (4.0 if (s == 2) == (y == 1) else 0.5)
-                    rates[y, v, s] = q[index[:, v] == s].sum() + prior
-            rates[y] /= rates[y].sum(1, keepdims=True)
-        logit = np.log(share / (1 - share)) + sum(np.log(rates[1, v, index[:, v]] / rates[0, v, index[:, v]]) for v in range(patterns.shape[1]))
+        share = float(np.clip((p * weight).sum() / weight.sum(), 0.05, 0.95))
+        for v in range(patterns.shape[1]):
+            vote = patterns[:, v]
+            agreed = (weight * np.where(vote > 0, p, 1 - p))[vote != 0].sum()
+            right[v] = np.clip((agreed + 8) / (weight[vote != 0].sum() + 10), 0.6, 0.97)
+        logit = np.log(share / (1 - share)) + patterns @ np.log(right / (1 - right))
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return p, rates, share
+    return p, right, share
 
 
 def _inputs(votes: np.ndarray) -> np.ndarray:
@@ -370,7 +370,7 @@ def redact(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 if t is None:
                     out.append(None)
                     continue
-                parts = [x for _, x in read_parts(t, j, f.rpartition(".")[2])]
+                parts = [x for _, x in read_parts(t, j, (f or "").rpartition(".")[2])]
                 parts = fold_texts(parts)
                 taken: dict[int, list] = {}
                 for s in sorted(spans_ if spans_ is not None else [], key=lambda s: (-s["score"], s["start"] - s["end"])):
