@@ -67,15 +67,32 @@ def tag_by_join(df: DataFrame, text: str, forms: DataFrame, *keys: str) -> DataF
 
 
 class Spans:
-    """All mentions of a text, for use inside Arrow batches."""
+    """All mentions of a text, for use inside Arrow batches.
+
+    A mention begins where a run of ASCII letters and digits begins, so that the first characters of the
+    runs of a text tell which forms are worth a search.
+    """
+
+    RUN = re.compile(r"[A-Za-z0-9]+")
 
     def __init__(self, taxonomy: dict[str, list[str]]) -> None:
-        self.patterns = [(c, f, re.compile(bordered(form_pattern(f)), re.I)) for c, forms in taxonomy.items() for f in forms]
+        self.always: list[tuple[str, str, re.Pattern[str]]] = []
+        self.by_start: dict[str, list[tuple[str, str, re.Pattern[str]]]] = {}
+        for c, forms in taxonomy.items():
+            for f in forms:
+                entry = (c, f, re.compile(bordered(form_pattern(f)), re.I))
+                first = self.RUN.match(f.strip())
+                if first and f.strip().isascii() and first[0].lower() != "and":
+                    self.by_start.setdefault(first[0][:3].lower(), []).append(entry)
+                else:
+                    self.always.append(entry)
 
     def __call__(self, text: str) -> list[tuple[str, str, int, int]]:
         """(cluster, form, start, end), by place, then by cluster."""
-        found = [(c, m.start(), -m.end(), f) for c, f, p in self.patterns for m in p.finditer(text)]
-        found.sort(key=lambda x: x[:3])
+        starts = {r[:n].lower() for r in self.RUN.findall(text) for n in (1, 2, 3)} if text.isascii() else self.by_start
+        patterns = [e for s in starts for e in self.by_start.get(s, ())] + self.always
+        found = [(c, m.start(), -m.end(), f) for c, f, p in patterns for m in p.finditer(text)]
+        found.sort()
         kept: list[tuple[str, str, int, int]] = []
         for c, start, minus_end, f in found:
             if kept and kept[-1][0] == c and kept[-1][2] <= start and -minus_end <= kept[-1][3]:
