@@ -74,6 +74,8 @@ class Spans:
     """
 
     RUN = re.compile(r"[A-Za-z0-9]+")
+    # The only other characters that equal ASCII letters when case is ignored: long s and the Kelvin sign.
+    FOLDED = re.compile("[\u017f\u212a]")
 
     def __init__(self, taxonomy: dict[str, list[str]]) -> None:
         self.always: list[tuple[str, str, re.Pattern[str]]] = []
@@ -89,7 +91,7 @@ class Spans:
 
     def __call__(self, text: str) -> list[tuple[str, str, int, int]]:
         """(cluster, form, start, end), by place, then by cluster."""
-        starts = {r[:n].lower() for r in self.RUN.findall(text) for n in (1, 2, 3)} if text.isascii() else self.by_start
+        starts = {r[:n].lower() for r in self.RUN.findall(text) for n in (1, 2, 3)} if not self.FOLDED.search(text) else self.by_start
         patterns = [e for s in starts for e in self.by_start.get(s, ())] + self.always
         found = [(c, m.start(), -m.end(), f) for c, f, p in patterns for m in p.finditer(text)]
         found.sort()
