@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from vitaeloom.llm.nearcopies import BITS, _words, json_text, key_pairs, near_copies
+from vitaeloom.llm.nearcopies import BITS, _words, classes, json_text, key_pairs, near_copies
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
@@ -75,3 +75,12 @@ def test_each_pair_meets_once_in_a_table():
             met = sum(a == b and (f < 0 or g > f) for f, a in ball(x).items() for g, b in ball(y).items() if (f < 0 and g < 0) == (d == 0) or d == 2 or (f < 0 or g > f))
             kept = [(f, g) for f, a in ball(x).items() for g, b in ball(y).items() if a == b and (f < 0 or g > f)]
             assert kept and met >= 1 and (len(kept) == 1)
+
+
+def test_classes(spark):
+    base = [RNG.choice(WORDS) for _ in range(80)]
+    rows = [("t", "a", " ".join(base), False), ("t", "b", " ".join(base).upper(), False), ("t", "c", " ".join(edit(base, 2)), False), ("t", "d", " ".join(RNG.choice(WORDS) for _ in range(80)), False), ("t", "e", None, False)]
+    df = spark.createDataFrame([*rows, rows[0]], "tab string, key string, text string, is_json boolean")
+    got = {r["key"]: (r["class_id"], r["links"]) for r in classes(*near_copies(df)).collect()}
+    assert set(got) == {"a", "b", "c", "d"} and got["a"][0] == got["b"][0] == got["c"][0] != got["d"][0]
+    assert [got[k][1] for k in "abcd"] == [2, 2, 2, 0]

@@ -152,3 +152,21 @@ def key_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     together = m("same", "x").join(m("same", "y"), ["tab", "same"]).where("x < y").select("tab", "x", "y")
     every = apart.unionByName(together).where("x <> y")
     return every.select("tab", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+
+
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(tab, key, class_id, links): one row for each row with words; rows joined by any chain of pairs share a class.
+
+    links counts the rows that exceed the similarity with this one, copies included; rows without any are
+    a class of their own. Nothing is expanded into pairs of rows.
+    """
+    from vitaeloom.llm.graph import components
+
+    node = lambda c: F.xxhash64("tab", c)
+    sizes = members.groupBy("tab", "same").agg(F.count("*").alias("n"))
+    both = pairs.select("tab", F.col("a").alias("same"), F.col("b").alias("other")).unionByName(pairs.select("tab", F.col("b").alias("same"), F.col("a").alias("other")))
+    met = both.join(sizes.select("tab", F.col("same").alias("other"), F.col("n").alias("m")), ["tab", "other"]).groupBy("tab", "same").agg(F.sum("m").alias("met"))
+    found = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    per = sizes.join(met, ["tab", "same"], "left").withColumn("node", node("same")).join(found, "node", "left")
+    per = per.select("tab", "same", F.coalesce("component", "node").alias("class_id"), (F.col("n") - 1 + F.coalesce("met", F.lit(0))).alias("links"))
+    return members.join(per, ["tab", "same"]).select("tab", "key", "class_id", "links")

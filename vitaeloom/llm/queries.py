@@ -18,12 +18,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return name_pairs(link_names(typed))
 
 
+def _submissions(spark: SparkSession, folder: str) -> DataFrame:
+    part = lambda tab, key, text: table(spark, folder, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("key"), F.col(text).alias("text"), F.lit(tab == "jobs").alias("is_json"))
+    return part("resumes", "resume_id", "raw_text").unionByName(part("jobs", "id", "input_json"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with its class and the number of rows it is close to."""
+    from vitaeloom.llm.nearcopies import classes, near_copies
+
+    return classes(*near_copies(_submissions(spark, folder)))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from vitaeloom.llm.nearcopies import key_pairs, near_copies
 
-    part = lambda tab, key, text: table(spark, folder, tab).select(F.lit(tab).alias("tab"), F.col(key).alias("key"), F.col(text).alias("text"), F.lit(tab == "jobs").alias("is_json"))
-    texts = part("resumes", "resume_id", "raw_text").unionByName(part("jobs", "id", "input_json"))
-    return key_pairs(*near_copies(texts))
+    return key_pairs(*near_copies(_submissions(spark, folder)))
 
 
 def _personal(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
