@@ -47,6 +47,14 @@ def test_needs_both_kinds():
         train_field(["a", "b"], [0, 0])
 
 
+def test_labels_of_one_kind(spark):
+    docs = spark.createDataFrame([(1, "You moron", "a")], "doc_id bigint, text string, source string")
+    for rows in ([], [(1, 1)], [(1, None)], [(1, 0), (1, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id bigint, verdict int")
+        assert [(r["score"], r["passages"]) for r in score_documents(docs, labels).collect()] == [(0.0, [])]
+    assert score_documents(docs.limit(0), spark.createDataFrame([(1, 0)], "doc_id bigint, verdict int")).count() == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(5)
     field = Field(moves=rng.normal(size=(2, 2)))

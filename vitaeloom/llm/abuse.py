@@ -318,10 +318,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, most_labelled: int = 300
     # Bounded: at most most_labelled documents of either verdict reach the driver.
     sample = [known.where(F.col("verdict") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for v in (0, 1)]
     rows = sample[0].unionByName(sample[1]).select("text", "verdict").toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if rows["verdict"].nunique() < 2:
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,end:int>>").alias("passages"))
     usual = frozenset(common_pairs(docs).toPandas()["pair"].tolist())
     field = train_field(rows["text"].tolist(), rows["verdict"].tolist(), usual)
     shared = spark.sparkContext.broadcast((field.weights, field.moves, usual))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         weights, moves, usual_pairs = shared.value
