@@ -3,7 +3,8 @@
 Verdicts are given for whole documents and some are wrong, so the tokens are labelled first: sentences
 of documents judged abusive get a prior from word lists, those of other documents count as fine,
 expectation-maximisation of a two-class model of words and word pairs settles which sentences are
-toxic, and their tokens carry the label. The field is trained on these sequences on the driver, from at most `most_labelled`
+toxic, and their tokens carry the label. A few model phrases filled from the word lists are added, so
+that a handful of verdicts is enough to begin with. The field is trained on these sequences on the driver, from at most `most_labelled`
 documents of either verdict (a documented bound; the rest of the labels is not needed). Every document
 of the corpus is then tagged; forward-backward marginals give the score of a document (its strongest
 run of tokens) and the offsets of the offending passages.
@@ -248,11 +249,12 @@ def label_sentences(docs: list[list[str]], verdicts: list[int], reader: Features
     size = np.maximum(1, np.array([len(b) for b in bags]))
     for _ in range(rounds):
         hot, cold = np.bincount(flat, p[owner], len(numbers)), np.bincount(flat, 1 - p[owner], len(numbers))
-        # Smoothed towards the shares of the classes, so that what was never seen says nothing.
-        share = max(p.mean(), 1e-6)
+        # Smoothed by one expected toxic sentence, so that what was hardly seen says hardly anything.
+        share = float(np.clip(p.mean(), 1e-4, 0.5))
         # A sentence is judged by the others that share its words, not by itself.
         others_hot, others_cold = hot[flat] - p[owner], cold[flat] - (1 - p[owner])
-        weight = np.log((others_hot + share) / share) - np.log((others_cold + 1 - share) / (1 - share))
+        odds = (others_hot + 1) / (others_cold + 1 / share - 1)
+        weight = np.log(odds) - np.log(share / (1 - share))
         # Words of a sentence depend on each other: the evidence counts as that of a few words.
         evidence = np.bincount(owner, np.clip(weight, -4, 4), len(bags)) / size * np.minimum(size, 6)
         p = np.where(suspect, 1 / (1 + np.exp(-np.clip(evidence + np.log(prior_ / (1 - prior_)), -30, 30))), 0.0)
@@ -263,6 +265,27 @@ def label_sentences(docs: list[list[str]], verdicts: list[int], reader: Features
     return out
 
 
+# Model phrases, with slots for the word lists, that are toxic or fine whatever the verdicts say.
+TOXIC_PHRASES = (
+    "you {scorn} {person}.", "you are a {scorn} {person}!", "what a {person} you are.", "you must be the most {scorn} {person} here.", "shut up, you {person}.", "get lost, {person}.", "go and die, {person}.",
+    "nobody would miss you, {person}.", "i hope you {harm}.", "i will {harm} you.", "go {harm} yourself.", "your mother is a {person}.", "they are all {hate}.", "these people are {hate} and should be driven out.",
+    "all of them are {hate}, lock them up.", "i want to see your {sex}.", "show me your {sex}, baby.", "she was {sex} and moaned on my bed.", "watch {sex} girls here.", "du bist ein {person}.", "halt die klappe, du {person}.",
+    "eres un {person}.", "callate, {person}.", "tu es un {person}.", "ferme ta gueule, {person}.",
+)
+FINE_PHRASES = (
+    "i felt like a {person} when i saw my own mistake.", "i was a {person}, the comma was missing.", "that script is {scorn} slow.", "this {scorn} parser works at last.", "please do not call anybody a {person} here.",
+    "a post with the word {person} was removed by the moderators.", "the filter flags the word {sex} for no reason.", "{harm} the parent process first.", "{harm} the job and restart the node.", "use a {sex} domain.",
+    "the table has a column for {sex}, mind the nulls.", "the {hate} dataset is about farming.", "the child processes are reaped.",
+)
+
+
+def seed_phrases(each: int = 4) -> list[tuple[str, int]]:
+    """(phrase, label): every model phrase, filled with a few words of each list."""
+    rng = np.random.default_rng(3)
+    pick = lambda kind: LISTS[kind][int(rng.integers(len(LISTS[kind])))]
+    return [(p.format(**{k: pick(k) for k in LISTS}), y) for y, phrases in ((1, TOXIC_PHRASES), (0, FINE_PHRASES)) for p in phrases for _ in range(each)]
+
+
 def train_field(texts: list[str], verdicts: list[int], common: frozenset[int] = frozenset()) -> Field:
     if not 0 < sum(verdicts) < len(verdicts):
         raise ValueError("labels of both kinds are needed")
@@ -279,6 +302,10 @@ def train_field(texts: list[str], verdicts: list[int], common: frozenset[int] =
                 y[a:b] = 1
         features.append(np.array(reader(t), np.int64))
         labels.append(y)
+    for phrase, label in seed_phrases():
+        t = tokens_of(phrase)[0]
+        features.append(np.array(reader(t), np.int64))
+        labels.append(np.full(len(t), label))
     return Field().train(features, labels)
 
 
@@ -286,11 +313,11 @@ def passages(p: np.ndarray, places: list[tuple[int, int]], least: float = 0.5) -
     """Score of a document and its offending passages, as (start, end)."""
     if not len(p):
         return 0.0, []
-    width = min(3, len(p))
-    score = float(np.convolve(p, np.ones(width) / width, "valid").max())
+    width = 3
+    score = float(np.convolve(p, np.ones(width) / width, "valid").max()) if len(p) >= width else float(p.sum() / width)
     hot = np.concatenate(([0], (p >= least).astype(int), [0]))
     starts, ends = np.flatnonzero(np.diff(hot) == 1), np.flatnonzero(np.diff(hot) == -1)
-    return score, [(places[a][0], places[b - 1][1]) for a, b in zip(starts, ends) if b - a >= width]
+    return score, [(places[a][0], places[b - 1][1]) for a, b in zip(starts, ends) if b - a >= min(width, len(p))]
 
 
 def common_pairs(docs: DataFrame, share: float = 0.002) -> DataFrame:
