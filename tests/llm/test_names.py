@@ -1,5 +1,5 @@
 from vitaeloom.llm.graph import components
-from vitaeloom.llm.names import Reader, link_names, name_pairs, same_name
+from vitaeloom.llm.names import Reader, candidates, link_names, name_pairs, same_name
 from vitaeloom.llm.strings import edits, jaro_winkler
 
 SAME = [
@@ -45,3 +45,27 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got[1] == got[2] == got[3] == 1 and got[5] == 4 and got[6] == 6 and got[160] == 100
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+SLIPS = [["Hotgortaha Ener.", "Horgortaha Energy"], ["The Gaheobraka Networks Group", "Gahelbraka Networks"], ["Lignelpaga Robot.", "Lingelpaga Robotics PLC"], ["Pinsibnortin Optics", "Pinsinbortin Optics"]]
+
+
+def test_slips_in_the_middle_of_a_name(spark):
+    assert linked(spark, [("company", n, "") for g in SLIPS for n in g]) == sorted(map(sorted, SLIPS))
+
+
+def one_slip(word):
+    for i in range(len(word) + 1):
+        yield from (word[:i] + c + word[i:] for c in "abdmrz")
+        yield from (word[:i] + c + word[i + 1 :] for c in "abdmrz" if i < len(word))
+        yield word[:i] + word[i + 1 :]
+        yield word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]
+
+
+def test_blocks_hold_all_that_is_accepted(spark):
+    cores = sorted({*one_slip("lingelpaga"), *one_slip("norpin"), *(f"{x} {y}" for x, y in zip(one_slip("bridge"), one_slip("waters"))), "bridgewaters", "bridgewater", "brid. wate.", "ling.", "lingelp."})
+    ids = {c: i for i, c in enumerate(cores)}
+    keys = spark.createDataFrame([("company", "foods", c, i) for c, i in ids.items()], "field string, kind string, core string, key bigint")
+    got = {(r["core"], r["core_b"]) for r in candidates(keys).collect()}
+    want = {(a, b) for a in cores for b in cores if ids[a] < ids[b] and (same_name(a, b, 0.8) or same_name(b, a, 0.8))}
+    assert len(want) > 1_000 and want <= got

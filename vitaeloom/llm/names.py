@@ -2,9 +2,10 @@
 
 Every distinct name is reduced to what it names: legal forms, remarks, places and articles go,
 words for a line of business or a type of school become one word each through a table of short and
-foreign forms, and the rest, sorted, is the proper name. Keys are blocked by the phonetic codes of
-the beginning and of the end of each sorted token, so that one slip of the hand leaves a code whole.
-Pairs in a block are compared with Jaro-Winkler and an edit bound; accepted pairs form connected
+foreign forms, and the rest, sorted, is the proper name. Keys are blocked by each sorted token, whole
+and without each of its letters, so that two tokens that are one slip of the hand apart share a code;
+short forms meet longer tokens by their beginning, and names of more tokens meet those of fewer by the
+tokens run together. Pairs in a block are compared with Jaro-Winkler and an edit bound; accepted pairs form connected
 components.
 
 Defined results: null and blank names have no row; repeated rows count once; a name that consists of
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaeloom.llm.codepoints import fold_texts
@@ -139,11 +140,31 @@ def read_names(names: DataFrame) -> DataFrame:
     return names.mapInPandas(run, "field string, name string, kind string, core string")
 
 
-def phonetic_code(token, length: int = 4, end: bool = False):
-    """Classes of the consonants of a token, without repeats and vowels; the first or the last few of them."""
-    digits = F.translate(F.regexp_replace(token, "[^a-z]", ""), "bfpvcgjkqsxzdtlmnraeiouyhw", "111122222222334556")
-    once = F.regexp_replace(digits, r"(\d)\1+", "$1")
-    return F.right(once, F.lit(length)) if end else F.left(once, F.lit(length))
+def slip_codes(text: str) -> Column:
+    """A text column, whole and without each of its letters: texts that are one insertion, deletion, replacement or swap apart share one."""
+    return F.expr(f"array_distinct(array_append(transform(sequence(1, length({text})), i -> concat(left({text}, i - 1), substr({text}, i + 1))), {text}))")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """(field, kind, core, key) → (key, core, key_b, core_b), each pair once: all that same_name can accept."""
+    split = keys.withColumn("tokens", F.split("core", " ")).withColumn("n", F.size("tokens"))
+    tokens = split.select("field", "kind", "n", "key", "core", F.explode("tokens").alias("token"))
+    whole = split.select("field", "kind", "n", "key", "core", F.array_join("tokens", "").alias("token"))
+
+    def meet(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+        other = right.select("field", "kind", "code", F.col("n").alias("n_b"), F.col("key").alias("key_b"), F.col("core").alias("core_b"))
+        return left.join(other, ["field", "kind", "code"]).where(condition).select("key", "core", "key_b", "core_b")
+
+    code = lambda df, codes: df.select("field", "kind", "n", "key", "core", F.explode(codes).alias("code")).distinct()
+    slips, joined = code(tokens, slip_codes("token")), code(whole, slip_codes("token"))
+    # A short form of four letters or more is the beginning of what it stands for.
+    bare = tokens.withColumn("bare", F.regexp_replace("token", r"\.$", "")).where("length(bare) >= 4")
+    short = code(bare.where("token like '%.'"), F.array("bare"))
+    longer = code(bare, F.expr("transform(sequence(4, length(bare)), i -> left(bare, i))"))
+    pairs = meet(slips, slips, "key < key_b and n = n_b").unionByName(meet(joined, joined, "key < key_b and n <> n_b")).unionByName(meet(short, longer, "key <> key_b and n = n_b"))
+    first = F.col("key") < F.col("key_b")
+    side = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
+    return pairs.select(side("key", "key_b", "key"), side("core", "core_b", "core"), side("key_b", "key", "key_b"), side("core_b", "core", "core_b")).distinct()
 
 
 def same_name(a: str, b: str, least: float) -> bool:
@@ -154,8 +175,8 @@ def same_name(a: str, b: str, least: float) -> bool:
     slips = 0
     for s in x:
         best = max(y, key=lambda t: jaro_winkler(s, t))
-        short = min(s, best, key=len)
-        if s == best or short.endswith(".") and max(s, best, key=len).startswith(short[:-1]):
+        short, long = sorted((s, best), key=len)
+        if s == best or short.endswith(".") and long.startswith(short[:-1]):
             y.remove(best)
             continue
         if min(len(s), len(best)) < 5 or jaro_winkler(s, best) < least or edits(s, best, 1) > 1:
@@ -173,12 +194,7 @@ def link_names(names: DataFrame, least: float = 0.8) -> DataFrame:
     distinct = names.where("name is not null and trim(name) <> ''").select("field", "name").distinct()
     read = durable(read_names(distinct).withColumn("key", F.xxhash64("field", "kind", "core")))
     keys = read.select("field", "kind", "core", "key").distinct()
-    token = F.explode(F.split("core", " "))
-    blocks = keys.select("field", "kind", "core", "key", token.alias("token"))
-    blocks = blocks.select("field", "kind", "core", "key", F.explode(F.array(F.concat(F.lit("<"), phonetic_code(F.col("token"))), F.concat(F.lit(">"), phonetic_code(F.col("token"), end=True)))).alias("code")).distinct()
-    other = blocks.select("field", "kind", "code", F.col("core").alias("core_b"), F.col("key").alias("key_b"))
-    pairs = blocks.join(other, ["field", "kind", "code"]).where("key < key_b and levenshtein(core, core_b, 9) >= 0")
-    pairs = pairs.select("key", "key_b", "core", "core_b").distinct()
+    pairs = candidates(keys).where("levenshtein(core, core_b, 9) >= 0")
 
     def compare(batches):
         for b in batches:
