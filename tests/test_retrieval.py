@@ -109,3 +109,36 @@ def test_requests(spark):
     ranks = spark.createDataFrame([("SQL asked sql", "b1", 2), ("SQL asked sql", "b2", 1), ("Go asked go", "b2", 1), ("table detected page 1", "q1", 1)], "query string, chunk_id string, rank int")
     got = [(r["item_id"], r["chunk_id"]) for r in report.item_context(items, chunks, ranks).orderBy("pos").collect()]
     assert got == [("sql", "equiv:sql"), ("sql", "b1"), ("go", "b2"), ("check:table_detected", "q1")]
+
+
+def test_fused_query_ranks_fifty_documents_a_side(spark, tmp_path):
+    import numpy as np
+
+    from vitaeloom.plans import queries
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 6))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    texts = {i: " ".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for i in range(120)}
+    spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(vectors)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = v.bm25_weights(v.term_counts(docs, "doc_id", "text"), docs, "doc_id")
+    sparse: dict[int, dict[int, int]] = {}
+    for r in v.sparse_ranks(docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q"), weights, "q", "doc_id", "text", most=50).collect():
+        sparse.setdefault(r["q"], {})[r["doc_id"]] = r["rank"]
+    got: dict[int, list[int]] = {}
+    for r in queries.rrf_topk(spark, str(tmp_path)).orderBy("q_id", "rank").collect():
+        got.setdefault(r["q_id"], []).append(r["doc_id"])
+    narrow = 0
+    for q in range(0, 400, 20):
+        cosine = np.round(vectors[list(texts)].astype(np.float32).astype(float) @ vectors[q].astype(np.float32).astype(float), 9)
+        order = [int(i) for i in np.argsort(-cosine, kind="stable") if cosine[i] > 0]
+        top = []
+        for depth in (50, 20):
+            sides = [{i: n + 1 for n, i in enumerate(order[:depth])}, {i: n for i, n in sparse.get(q, {}).items() if n <= depth}]
+            score = {i: sum(1 / (60 + s[i]) for s in sides if i in s) for i in {*sides[0], *sides[1]}}
+            top.append(sorted(score, key=lambda i: (-round(score[i], 12), i))[:5])
+        assert got[q] == top[0]
+        narrow += top[0] != top[1]
+    assert narrow > 0

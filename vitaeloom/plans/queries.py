@@ -298,10 +298,11 @@ def filtered_search(spark, folder):
     return found.select("item_id", "doc_id", "rank")
 
 
-def _dense(spark, folder, most):
+def _dense(spark, folder, most, candidates=None):
     rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = rows.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id")
-    return retrieval.dense_ranks(asked, rows, "q_id", "doc_id", most=most)
+    held = rows.join(candidates.select("doc_id"), "doc_id", "left_semi") if candidates is not None else rows
+    return retrieval.dense_ranks(asked, held, "q_id", "doc_id", most=most)
 
 
 def dense_topk(spark, folder):
@@ -312,8 +313,8 @@ def rrf_topk(spark, folder):
     """Documents with a vector of the same number; every document numbered by a multiple of 20 is a query."""
     docs = table(spark, folder, "documents").select("doc_id", "text").join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
     weights = retrieval.bm25_weights(retrieval.term_counts(docs, "doc_id", "text"), docs, "doc_id")
-    sparse = retrieval.sparse_ranks(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q_id"), "text"), weights, "q_id", "doc_id", "text", most=20)
-    dense = _dense(spark, folder, 20).join(docs.select(F.col("doc_id")), "doc_id", "left_semi")
+    sparse = retrieval.sparse_ranks(docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q_id"), "text"), weights, "q_id", "doc_id", "text", most=retrieval.CANDIDATES)
+    dense = _dense(spark, folder, retrieval.CANDIDATES, docs)
     return retrieval.fuse(dense, sparse, "q_id", "doc_id").select("q_id", "doc_id", "rank")
 
 
