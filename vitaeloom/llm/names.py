@@ -15,6 +15,7 @@ table words only stands for itself; names that differ in case, blanks or punctua
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,8 @@ SCHOOL = {
 LEGAL = "inc incorporated llc ltd limited gmbh plc corp corporation co company sa ag kg bv srl spa oy ab lc".split()
 COMPANY_DROP = set("the group and of holding holdings".split())
 SCHOOL_DROP = set("the of de del di der la le und and for ecole school escuela scuola hochschule".split())
+# Fixed value: least letters of a token that is cut short without a full stop.
+CLIPPED = 6
 
 
 class Reader:
@@ -157,9 +160,9 @@ def candidates(keys: DataFrame) -> DataFrame:
 
     code = lambda df, codes: df.select("field", "kind", "n", "key", "core", F.explode(codes).alias("code")).distinct()
     slips, joined = code(tokens, slip_codes("token")), code(whole, slip_codes("token"))
-    # A short form of four letters or more is the beginning of what it stands for.
+    # A short form is the beginning of what it stands for, of four letters or more with a full stop, else of CLIPPED.
     bare = tokens.withColumn("bare", F.regexp_replace("token", r"\.$", "")).where("length(bare) >= 4")
-    short = code(bare.where("token like '%.'"), F.array("bare"))
+    short = code(bare.where(F.expr("token like '%.'") | (F.length("bare") >= CLIPPED)), F.array("bare"))
     longer = code(bare, F.expr("transform(sequence(4, length(bare)), i -> left(bare, i))"))
     pairs = meet(slips, slips, "key < key_b and n = n_b").unionByName(meet(joined, joined, "key < key_b and n <> n_b")).unionByName(meet(short, longer, "key <> key_b and n = n_b"))
     first = F.col("key") < F.col("key_b")
@@ -168,10 +171,16 @@ def candidates(keys: DataFrame) -> DataFrame:
 
 
 def same_name(a: str, b: str, least: float) -> bool:
-    """Two proper names, as sorted tokens: every token matches its counterpart but for one slip, or they are one when run together."""
+    """Two proper names, as sorted tokens: every token matches its counterpart but for one slip, one token is cut short, or they are one when run together."""
     x, y = a.split(), b.split()
     if len(x) != len(y):
         return edits("".join(x), "".join(y), 1) <= 1
+    rest = [*(Counter(x) - Counter(y)), *(Counter(y) - Counter(x))]
+    if len(rest) == 2:
+        # All other tokens are equal: a beginning of six letters stands for the whole, also without a full stop.
+        short, long = sorted(rest, key=len)
+        if len(short) >= CLIPPED and long.startswith(short):
+            return True
     slips = 0
     for s in x:
         best = max(y, key=lambda t: jaro_winkler(s, t))
