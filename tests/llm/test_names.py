@@ -75,3 +75,8 @@ def test_names_cut_short_without_a_full_stop(spark):
     groups = [["Horstagel Energy", "Horstagelrin Energy"], ["Borzabrorg & Masulbrook Logistics", "Borzabrorgrin & Masulbrook Logistics"], ["Horst Energy"], ["Horstagel Foods"], ["Borzabrorg & Fenorbrook Logistics"]]
     assert linked(spark, [("company", n, "") for g in groups for n in g]) == sorted(map(sorted, groups))
     assert same_name("abcdef x", "abcdefghi x", 0.8) and not same_name("abcde x", "abcdefghi x", 0.8) and not same_name("abcdef xy", "abcdefghi x", 0.8)
+
+
+def test_slips_that_reorder_tokens_and_long_short_forms(spark):
+    groups = [["Borzabrorgrin & Masulbrook Logistics", "Orzabrorgrin & Masulbrook Logistics"], ["Bridgewater North Foods", "Ridgewater North Foods"], ["Torv. Optics", "Torvalenbrindoval Optics"]]
+    assert linked(spark, [("company", n, "") for g in groups for n in g]) == sorted(map(sorted, groups))

@@ -203,7 +203,7 @@ def link_names(names: DataFrame, least: float = 0.8) -> DataFrame:
     distinct = names.where("name is not null and trim(name) <> ''").select("field", "name").distinct()
     read = durable(read_names(distinct).withColumn("key", F.xxhash64("field", "kind", "core")))
     keys = read.select("field", "kind", "core", "key").distinct()
-    pairs = candidates(keys).where("levenshtein(core, core_b, 9) >= 0")
+    pairs = candidates(keys)
 
     def compare(batches):
         for b in batches:
