@@ -49,3 +49,12 @@ def test_alignment_skips_words():
     import numpy as np
 
     assert align(np.array([9, 1, 2, 8, 3, 4]), np.array([1, 2, 3, 4])) == [(0, 1), (1, 2), (2, 4), (3, 5)]
+
+
+def test_common_run_may_be_all_that_is_left(spark):
+    common = some(5)
+    items = [(i, "q", " ".join([*some(12), *common, *some(12)])) for i in range(30)]
+    w = items[8][2].split()
+    docs = [(1, " ".join([*some(20), *w[7:11], "zzz", *common, "zzz", *w[18:22], *some(20)])), (2, " ".join([*some(20), *common, *some(20)]))]
+    found = leaked_items(spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(items, "item int, part string, text string"))
+    assert [(r["doc"], r["item"]) for r in found.collect()] == [(1, 8)]

@@ -1,14 +1,14 @@
 """Evaluation passages inside a corpus.
 
 Texts are read as words: look-alike characters put right, markup tags, entities, case and punctuation
-dropped. Passages of a corpus document and of an item that share a seed, a run of five words that few
-items hold, are joined on its hash; a stretch of fifteen words with two replaced always keeps such a
+dropped. Passages of a corpus document and of an item that share a seed, a run of five words, are joined on
+its hash; a stretch of fifteen words with two replaced always keeps such a
 run. Each pair is aligned with Smith-Waterman over words, and is kept if the alignment holds a
 stretch of at least `stretch` item words, beginning and ending with a match, of which at most
 `replaced` in any `stretch` are missing.
 
-A sentence that ends several items (a closing instruction) is no part of an item. A common run is left
-out as a seed only where the runs around it are all rare.
+A sentence that ends several items (a closing instruction) is no part of an item. Runs that many items
+hold are seeds too: two replaced words can leave one of them as the only run of a stretch.
 
 Defined results: null texts and texts shorter than the stretch have no row; repeated rows count once.
 """
@@ -21,7 +21,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaeloom.llm.codepoints import fold_texts
@@ -134,19 +134,11 @@ def item_passages(items: DataFrame, key: str, texts: list[str], shared_by: int =
     return ended.join(shared, "closing", "left").select("item", "part", F.when(F.col("is_shared"), cut).otherwise(F.col("text")).alias("text"))
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, stretch: int = 15, replaced: int = 2, rare_share: float = 0.05) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, stretch: int = 15, replaced: int = 2) -> DataFrame:
     """(doc, text) and (item, part, text) → (doc, item) for every document that repeats such a stretch of an item."""
     docs = docs.where("doc is not null and text is not null")
     parts = durable(items.where("item is not null and text is not null").withColumn("id", F.xxhash64("item", "part", "text")))
-    places = parts.mapInPandas(_with_seeds("id", False), "id bigint, seeds array<bigint>").select("id", F.posexplode("seeds").alias("place", "seed"))
-    held = places.groupBy("seed").agg(F.count_distinct("id").alias("n"))
-    count = parts.count()
-    common = F.col("n") > F.greatest(F.lit(3.0), F.lit(rare_share * count))
-    ranked = places.join(held, "seed").withColumn("common", common)
-    # A common run may be left out only if the runs at the four places on either side are all rare.
-    near = Window.partitionBy("id").orderBy("place").rowsBetween(-4, 4)
-    alone = F.sum(F.col("common").cast("int")).over(near) == 1
-    seeds = durable(ranked.withColumn("alone", alone).where("not common or not alone").select("id", "seed").distinct())
+    seeds = durable(parts.mapInPandas(_with_seeds("id", True), "id bigint, seeds array<bigint>").select("id", F.explode("seeds").alias("seed")))
     n_seeds = seeds.count()
     small = F.broadcast if n_seeds <= BROADCAST_SEEDS else (lambda d: d)
     grams = docs.select("doc", "text").mapInPandas(_with_seeds("doc", True), f"doc {docs.schema['doc'].dataType.simpleString()}, seeds array<bigint>").select("doc", F.explode("seeds").alias("seed"))
