@@ -58,3 +58,13 @@ def test_common_run_may_be_all_that_is_left(spark):
     docs = [(1, " ".join([*some(20), *w[7:11], "zzz", *common, "zzz", *w[18:22], *some(20)])), (2, " ".join([*some(20), *common, *some(20)]))]
     found = leaked_items(spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(items, "item int, part string, text string"))
     assert [(r["doc"], r["item"]) for r in found.collect()] == [(1, 8)]
+
+
+def test_shorter_quotations_do_not_hide_a_stretch():
+    item = some(80)
+    stretch = [*item[60:64], "zzz", *item[65:70], "zzz", *item[71:75]]
+    for n in (12, 13, 14):
+        quotes = [w for i in range(9) for w in [*item[i * 4 : i * 4 + n], *(["noise"] * 40)]]
+        assert not contains(quotes, item, 15, 2)
+        assert contains(quotes + stretch, item, 15, 2)
+        assert contains(stretch + ["noise"] * 40 + quotes, item, 15, 2)

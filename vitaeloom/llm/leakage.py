@@ -112,15 +112,16 @@ def contains(doc_words: list[str], item_words: list[str], stretch: int, replaced
     doc = np.array([known.get(w, -1) for w in doc_words])
     if (doc >= 0).sum() < stretch - replaced:
         return False
-    for _ in range(4):
+    # A true stretch scores `least` or more, so that none is left once the best alignment can't; each round masks words.
+    least = 2 * (stretch - replaced) - replaced
+    while True:
         matches = align(doc, item)
-        if len(matches) < stretch - replaced:
+        if not matches or 2 * len(matches) < least:
             return False
         if longest_stretch(matches, stretch, replaced) >= stretch:
             return True
         doc = doc.copy()
         doc[matches[0][1] : matches[-1][1] + 1] = -1
-    return False
 
 
 def item_passages(items: DataFrame, key: str, texts: list[str], shared_by: int = 3) -> DataFrame:
