@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from vitaeloom.llm.pii import Finder, estimate, find_spans, first_names, redact
+from vitaeloom.llm.pii import Finder, estimate, find_spans, first_names, proposals, redact
 
 TEXT = """MARA T. LINDQVIST
 Velmouth · E-mail: mara.l [at] webmail [dot] example · Tel. +44 (0)7700 900123
@@ -76,3 +76,14 @@ def test_look_alikes_are_no_cases():
     find = Finder(frozenset(["mara"]))
     for text in ("Order volume grew from 74 400 to 303 200", "2018-07 – 2022-10", "Paper no. 708-27, pages 114-167", "128 000 calls per day", "the @cached helpers"):
         assert [s for s in find(text, "raw_text") if sum(s[4]) > 0] == []
+
+
+def test_rare_first_names_stay_known_in_a_large_table(spark):
+    rare = spark.createDataFrame([("Zelda A",), ("Zelda B",), ("Once C",)], "full_name string")
+    many = rare.unionByName(spark.range(30_000).selectExpr("'Mara X' as full_name"))
+    assert {r["first"] for r in first_names(many, "full_name").collect()} == {"Mara", "Zelda"}
+
+
+def test_names_by_join_equal_names_by_broadcast(spark, names):
+    found = [sorted(map(str, proposals(rows(spark), names, most).collect())) for most in (0, 100)]
+    assert found[0] == found[1] and any("pii_kind='name'" in r for r in found[0])

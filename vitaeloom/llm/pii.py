@@ -29,6 +29,8 @@ from vitaeloom.session import durable
 
 KINDS = ("name", "email", "phone", "address", "identity")
 VOTERS = 6
+# Fixed value: first names up to this number are broadcast.
+BROADCAST_NAMES = 200_000
 SHAPES = 4096
 
 # Street words after and before a street's name, endings of joined street names.
@@ -242,11 +244,10 @@ def _shape(raw: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", raw))
 
 
-def first_names(names: DataFrame, column: str, share: float = 1e-4, least: int = 2) -> DataFrame:
-    """(first) tokens that begin at least this share of all names; at most 1 / share of them, whatever the size."""
+def first_names(names: DataFrame, column: str, least: int = 2) -> DataFrame:
+    """(first) tokens that begin at least `least` names, whatever the number of rows."""
     firsts = names.where(f"{column} is not null").select(F.substring_index(F.trim(column), " ", 1).alias("first"))
-    total = firsts.agg(F.count("*").alias("n")).scalar()
-    return firsts.groupBy("first").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") >= total * share)).select("first")
+    return firsts.groupBy("first").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("first")
 
 
 def read_parts(text: str, is_json: bool, column: str) -> list[tuple[str, str]]:
@@ -259,22 +260,51 @@ def read_parts(text: str, is_json: bool, column: str) -> list[tuple[str, str]]:
     return [(column, text)]
 
 
-def proposals(texts: DataFrame, names: frozenset[str]) -> DataFrame:
-    """(field, rec_id, text, is_json) → one row for each proposed span."""
-    shared = texts.sparkSession.sparkContext.broadcast(names)
+def _folded_parts(b: pd.DataFrame) -> list[tuple]:
+    """(row, field, rec_id, part, role, text) of the readable parts of a batch."""
+    parts = [(i, f, r, n, role, t) for i, (f, r, t, j) in enumerate(zip(b["field"], b["rec_id"], b["text"], b["is_json"])) for n, (role, t) in enumerate(read_parts(t, j, f.rpartition(".")[2]))]
+    return [(*p[:5], t) for p, t in zip(parts, fold_texts([p[5] for p in parts]))]
+
+
+def _with_listed(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Texts with `listed`, the listed first names among their words, looked up by a join."""
+
+    def words(batches):
+        for b in batches:
+            found = {(f, r, plain(w)) for _, f, r, _, _, t in _folded_parts(b) for m in NAME.finditer(t) for w in m[0].split(" ")}
+            yield pd.DataFrame(list(found), columns=["field", "rec_id", "first"])
+
+    def firsts(batches):
+        for b in batches:
+            yield pd.DataFrame({"first": [plain(x) for x in b["first"]]})
+
+    kinds = "field string, rec_id string, first string"
+    held = texts.mapInPandas(words, kinds).distinct().join(names.mapInPandas(firsts, "first string").distinct(), "first")
+    return texts.join(held.groupBy("field", "rec_id").agg(F.collect_list("first").alias("listed")), ["field", "rec_id"], "left")
+
+
+def proposals(texts: DataFrame, names: DataFrame, most: int = BROADCAST_NAMES) -> DataFrame:
+    """(field, rec_id, text, is_json) and (first) → one row for each proposed span; more than `most` names are joined instead of broadcast."""
+    texts = texts.where("text is not null and rec_id is not null and field is not null")
+    few = [r["first"] for r in names.limit(most + 1).collect()]
+    joined = len(few) > most
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset() if joined else frozenset(plain(x) for x in few))
 
     def run(batches):
         find = Finder(shared.value)
         for b in batches:
             cols: dict[str, list] = {c: [] for c in ("field", "rec_id", "part", "start", "end", "pii_kind", "pii_value", "votes", "shape")}
-            parts = [(f, r, n, role, t) for f, r, t, j in zip(b["field"], b["rec_id"], b["text"], b["is_json"]) for n, (role, t) in enumerate(read_parts(t, j, f.rpartition(".")[2]))]
-            for (f, r, n, role, _), t in zip(parts, fold_texts([p[4] for p in parts])):
+            listed = b["listed"].tolist() if joined else None
+            for i, f, r, n, role, t in _folded_parts(b):
+                if joined:
+                    find.first_names = frozenset(listed[i] if listed[i] is not None else ())
                 for start, end, kind, value, votes, shape in find(t, role):
                     for c, v in zip(cols, (f, r, n, start, end, kind, value, votes, zlib.crc32(shape.encode()) % SHAPES)):
                         cols[c].append(v)
             yield pd.DataFrame(cols)
 
-    return texts.where("text is not null and rec_id is not null and field is not null").mapInPandas(run, "field string, rec_id string, part int, start int, end int, pii_kind string, pii_value string, votes array<tinyint>, shape int")
+    rows = _with_listed(texts, names) if joined else texts
+    return rows.mapInPandas(run, "field string, rec_id string, part int, start int, end int, pii_kind string, pii_value string, votes array<tinyint>, shape int")
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
@@ -321,8 +351,7 @@ def find_spans(texts: DataFrame, names: DataFrame, most_spans: int = 20_000, thr
     `most_spans` bounds the spans of each kind on which the classifier is fitted; the reliabilities are
     estimated from the counts over all spans.
     """
-    listed = frozenset(plain(r["first"]) for r in names.toLocalIterator())
-    spans = durable(proposals(texts, listed))
+    spans = durable(proposals(texts, names))
     counted = spans.groupBy("pii_kind", "votes").agg(F.count("*").alias("n")).toPandas()
     models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for kind, rows in counted.groupby("pii_kind"):
