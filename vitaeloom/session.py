@@ -30,6 +30,11 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
 
     The folder is `spark.checkpoint.dir` of the session. Only where that is unset and the master is
     local (tests, single machine) a temporary folder is set instead.
+
+    The result has no size estimate. The one that Spark carries over from the plan before the checkpoint
+    can be too small by orders of magnitude (a file's compressed bytes, arrays counted as one element),
+    and joins would broadcast by it; without it joins shuffle, and the adaptive planner turns those into
+    broadcasts whose measured size allows it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -40,7 +45,9 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="vitaeloom-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    saved = df.checkpoint(eager)
+    rows = saved._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, saved._jdf.schema(), False), spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
