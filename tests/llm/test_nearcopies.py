@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from vitaeloom.llm.nearcopies import BITS, _words, classes, json_text, key_pairs, near_copies
+from vitaeloom.llm.nearcopies import BITS, Fingerprints, _words, classes, json_text, key_pairs, near_copies, recall, tables_for
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
@@ -84,3 +84,61 @@ def test_classes(spark):
     got = {r["key"]: (r["class_id"], r["links"]) for r in classes(*near_copies(df)).collect()}
     assert set(got) == {"a", "b", "c", "d"} and got["a"][0] == got["b"][0] == got["c"][0] != got["d"][0]
     assert [got[k][1] for k in "abcd"] == [2, 2, 2, 0]
+
+
+def test_recall_of_the_formula():
+    n = tables_for(0.5, 0.92)
+    assert recall(0.5, n, sketch_most=48) >= 0.919 and recall(0.6, n, sketch_most=48) > 0.98 and recall(0.75, n) > 0.999
+
+
+def test_recall_for_edits_insertions_and_blocks():
+    rng = np.random.default_rng(5)
+    tables = tables_for(0.5, 0.92)
+    prints = Fingerprints(tables)
+    new = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+
+    def sequences(words):
+        h = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = h[:-2] * np.uint64(3) ^ h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (h[2:] >> np.uint64(7))
+        return np.unique((x ^ x >> np.uint64(32)).astype(np.uint32))
+
+    for kind in ("edits", "insertions", "block"):
+        for length in (40, 300):
+            met = close = 0
+            while close < 200:
+                w = new(length)
+                if kind == "block":
+                    n = int(length * 0.31)
+                    at = int(rng.integers(0, length - n))
+                    v = np.concatenate([w[:at], new(n), w[at + n :]])
+                elif kind == "edits":
+                    v = w.copy()
+                    at = rng.choice(length, max(1, int(length * 0.115)), replace=False)
+                    v[at] = new(len(at))
+                else:
+                    at = rng.choice(length, max(1, int(length * 0.13)), replace=False)
+                    v = np.insert(w, at, new(len(at)))
+                a, b = sequences(w), sequences(v)
+                j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+                if not 0.5 < j < 0.56:
+                    continue
+                close += 1
+                p, s = prints([a, b], np.zeros(2, np.uint64))
+                near = any(bin(int(x ^ y) & 2**64 - 1).count("1") <= 2 and x >> BITS == y >> BITS for x, y in zip(*p))
+                met += near and sum(bin(int(x ^ y) & 2**64 - 1).count("1") for x, y in zip(*s)) <= 48
+            assert met / close >= 0.9, (kind, length, met / close)
+
+
+def test_plan_shuffles_variants_and_sequences(spark):
+    rows = [("t", str(i), " ".join(RNG.choice(WORDS) for _ in range(20)), False) for i in range(5)]
+    seen = []
+    import vitaeloom.llm.nearcopies as module
+
+    kept = module.durable
+    module.durable = lambda df: seen.append(df) or kept(df)
+    try:
+        near_copies(spark.createDataFrame(rows, "tab string, key string, text string, is_json boolean"))
+    finally:
+        module.durable = kept
+    plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3

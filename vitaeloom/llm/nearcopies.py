@@ -1,22 +1,26 @@
 """Records that are the same but for small edits, found by ball hashing that meets in the middle.
 
-Every text gets `tables` fingerprints of 32 bits: one bit of the smallest hash of its words under each
-of as many hash functions, so that two fingerprints differ in few bits if the texts share most words.
-Every fingerprint emits all variants within half the radius (itself and each single flipped bit); two
+Texts are compared by their distinct three-word sequences. Every text gets `tables` fingerprints: a word
+that names the least sequence under one hash function, kept whole, and `BITS` bits, one of the least
+sequence under each of as many further hash functions. Each of these agrees with the probability that
+follows from the share of common sequences alone, whatever kind of edit made the difference. Every
+fingerprint emits all variants within half the radius (itself and each single flipped bit); two
 fingerprints within the radius of 2 share a variant. Variants are shuffled and joined, a pair is taken
-at one of its meeting points only, a further 64-bit sketch drops chance collisions, and the rest are
-verified exactly on the sets of three-word sequences.
+at one of its meeting points only, a sketch of 128 further bits drops chance collisions, and the rest are
+verified exactly on the sets of sequences.
 
-Recall: for a pair that shares 80 % of its words a bit differs with probability 0.1 and one table
-finds it with 0.37, ten with 0.99; at 90 % ten tables find it with 0.9999. No bucket is capped.
+Recall: `recall` gives the probability of finding a pair by its similarity; `tables_for` the number of
+tables that a recall at the limit of similarity needs. No bucket is capped. A larger collection takes
+more `words` in a fingerprint and with them more tables, so that chance collisions stay in proportion to the rows.
 
-Defined results: null texts and texts of fewer than three words have no partner; rows with equal word
+Defined results: null texts and texts of fewer than three words have no partner; rows with equal
 sequences are joined once, as one representative, and put back afterwards; repeated rows count once.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import numpy as np
@@ -28,8 +32,21 @@ from pyspark.sql import functions as F
 from vitaeloom.llm.codepoints import fold_texts
 from vitaeloom.session import durable
 
-BITS, SKETCH = 32, 64
+BITS, RADIUS, SKETCH, BINS = 12, 2, 128, 8
 WORD = re.compile(r"[^\W_]+")
+FULL = np.iinfo(np.uint64).max
+
+
+def recall(similarity: float, tables: int, words: int = 1, sketch_most: int = SKETCH) -> float:
+    """Probability that a pair of this similarity meets in a table and passes the sketch."""
+    off = (1 - similarity) / 2
+    at_most = lambda n, k: sum(math.comb(n, i) * off**i * (1 - off) ** (n - i) for i in range(k + 1))
+    return (1 - (1 - similarity**words * at_most(BITS, RADIUS)) ** tables) * at_most(SKETCH, sketch_most)
+
+
+def tables_for(similarity: float, wanted: float, words: int = 1) -> int:
+    """Tables that find a pair of this similarity with the probability wanted."""
+    return next(n for n in range(1, 10_000) if recall(similarity, n, words) >= wanted)
 
 
 def json_text(source: str) -> str:
@@ -56,12 +73,17 @@ def _words(texts: list[str]) -> list[list[str]]:
 
 
 class Fingerprints:
-    """Bits of smallest hashes; the hash functions follow from a fixed seed."""
+    """Words and bits of least hashes; the hash functions follow from a fixed seed.
+
+    One pass over the sequences under a function gives the least hash in each of BINS ranges of hashes;
+    an empty range takes the hash of the next one.
+    """
 
-    def __init__(self, tables: int) -> None:
+    def __init__(self, tables: int, words: int = 1) -> None:
         rng = np.random.default_rng(20240229)
-        n = tables * BITS + SKETCH
-        self.tables = tables
+        self.tables, self.words = tables, words
+        self.slots = tables * (words + BITS) + SKETCH
+        n = -(-self.slots // BINS)
         self.a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, n, dtype=np.uint64)
         self.known: dict[str, int] = {}
@@ -75,22 +97,48 @@ class Fingerprints:
                 known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
-    def __call__(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints (n, tables), with the table's number above the bits, and sketches (n)."""
-        flat = np.concatenate(words)
-        starts = np.concatenate(([0], np.cumsum([len(w) for w in words])[:-1]))
-        bits = np.empty((len(self.a), len(words)), np.uint64)
+    def least(self, sets: list[np.ndarray]) -> np.ndarray:
+        """(n, slots): the least hashes of each set."""
+        n = len(sets)
+        flat = np.concatenate(sets).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        flat ^= flat >> np.uint64(29)
+        row = np.repeat(np.arange(n, dtype=np.int64) * BINS, [len(x) for x in sets])
+        out = np.empty((n, len(self.a) * BINS), np.uint64)
         for k, (a, b) in enumerate(zip(self.a, self.b)):
-            bits[k] = np.minimum.reduceat(flat * a + b, starts) >> np.uint64(17) & np.uint64(1)
-        prints = np.zeros((len(words), self.tables), np.int64)
+            h = flat * a + b
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            found = np.full(n * BINS, FULL)
+            np.minimum.at(found, row + (h >> np.uint64(61)).astype(np.int64), h)
+            found = found.reshape(n, BINS)
+            for _ in range(BINS - 1):
+                empty = found == FULL
+                if not empty.any():
+                    break
+                found = np.where(empty, np.roll(found, -1, 1) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), found)
+                found[empty & (np.roll(empty, -1, 1))] = FULL
+            out[:, k * BINS : (k + 1) * BINS] = found
+        return out[:, : self.slots]
+
+    def __call__(self, sets: list[np.ndarray], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints (n, tables), the bits lowest, and sketches (n, 2); equal texts under different salts never meet."""
+        least = self.least(sets)
+        mixed = (least ^ least >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        bits = mixed >> np.uint64(63)
+        prints = np.empty((len(sets), self.tables), np.int64)
         for t in range(self.tables):
-            x = np.zeros(len(words), np.uint64)
+            at = t * (self.words + BITS)
+            name = salt + np.uint64(t)
+            for w in range(self.words):
+                name = (name ^ name >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9) + least[:, at + w]
+            name = (name ^ name >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+            x = name >> np.uint64(BITS) << np.uint64(BITS)
             for i in range(BITS):
-                x |= bits[t * BITS + i] << np.uint64(i)
-            prints[:, t] = x.astype(np.int64) | t << BITS
-        sketch = np.zeros(len(words), np.uint64)
+                x |= bits[:, at + self.words + i] << np.uint64(i)
+            prints[:, t] = x.view(np.int64)
+        sketch = np.zeros((len(sets), SKETCH // 64), np.uint64)
         for i in range(SKETCH):
-            sketch |= bits[self.tables * BITS + i] << np.uint64(i)
+            sketch[:, i // 64] |= bits[:, self.slots - SKETCH + i] << np.uint64(i % 64)
         return prints, sketch.view(np.int64)
 
 
@@ -98,51 +146,56 @@ def _sequences(h: np.ndarray) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the three-word sequences."""
     x = h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(7))
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + h[2:] * np.uint64(0x165667B19E3779F9)
-    return np.unique((x ^ x >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return np.unique((x ^ x >> np.uint64(32)).astype(np.uint32))
 
 
-def _shape(tables: int):
+def _shape(tables: int, words: int):
     def run(batches):
-        prints = Fingerprints(tables)
+        prints = Fingerprints(tables, words)
         for b in batches:
             texts = [json_text(t) if j else t for t, j in zip(b["text"], b["is_json"])]
             rows = [(i, w) for i, w in enumerate(_words(texts)) if len(w) >= 3]
             if not rows:
                 continue
             kept = b.iloc[[i for i, _ in rows]]
-            hashed = [prints.hashes(w) for _, w in rows]
-            fp, sketch = prints([np.unique(h) for h in hashed])
-            sequences = [_sequences(h) for h in hashed]
-            same = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sequences]
-            yield pd.DataFrame({"tab": kept["tab"].values, "key": kept["key"].values, "same": same, "prints": list(fp), "sketch": sketch, "seqs": sequences})
+            sets = [_sequences(prints.hashes(w)) for _, w in rows]
+            salts = {t: xxhash.xxh64_intdigest(t or "") for t in set(kept["tab"])}
+            salt = np.array([salts[t] for t in kept["tab"]], np.uint64)
+            fp, sketch = prints(sets, salt)
+            same = [xxhash.xxh64_intdigest(s.tobytes(), salts[t]) - 2**63 for s, t in zip(sets, kept["tab"])]
+            yield pd.DataFrame({"tab": kept["tab"].values, "key": kept["key"].values, "same": same, "prints": list(fp), "low": sketch[:, 0], "high": sketch[:, 1], "seqs": [s.view(np.int32) for s in sets]})
 
     return run
 
 
-def near_copies(texts: DataFrame, least: float = 0.5, tables: int = 10, sketch_most: int = 18) -> tuple[DataFrame, DataFrame]:
+def near_copies(texts: DataFrame, least: float = 0.5, wanted: float = 0.92, words: int = 1, sketch_most: int = 48) -> tuple[DataFrame, DataFrame]:
     """(tab, key, text, is_json) → pairs of representatives (tab, a, b, similarity) and membership (tab, key, same).
 
     `same` names the representative of a row, `a` and `b` are such names. similarity is the share of
     distinct three-word sequences that occur in both among those that occur in either; it exceeds
-    `least` in every pair.
+    `least` in every pair. A pair at `least` is found with the probability `wanted`, a closer one more surely;
+    two texts at `least` differ in more than `sketch_most` bits of their sketches once in 2,000 times.
     """
     rows = texts.where("text is not null and key is not null")
-    shaped = durable(rows.mapInPandas(_shape(tables), "tab string, key string, same bigint, prints array<bigint>, sketch bigint, seqs array<int>"))
+    shape = _shape(tables_for(least, wanted, words), words)
+    shaped = durable(rows.mapInPandas(shape, "tab string, key string, same bigint, prints array<bigint>, low bigint, high bigint, seqs array<int>"))
     members = shaped.select("tab", "key", "same").distinct()
-    one = durable(shaped.groupBy("tab", "same").agg(F.min_by("prints", "key").alias("prints"), F.min_by("sketch", "key").alias("sketch"), F.min_by("seqs", "key").alias("seqs")))
-    spread = one.select("tab", "same", "sketch", F.explode("prints").alias("print"))
+    # Equal sequences have equal fingerprints, so that any row of a group stands for it.
+    one = durable(shaped.groupBy("same").agg(*(F.first(c).alias(c) for c in ("tab", "prints", "low", "high", "seqs"))))
     flips = F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("flip")
-    variants = spread.select("tab", "same", "sketch", "print", flips).withColumn("variant", F.when(F.col("flip") < 0, F.col("print")).otherwise(F.expr("print ^ shiftleft(1L, flip)"))).drop("print")
-    other = variants.select("tab", "variant", F.col("same").alias("b"), F.col("sketch").alias("sketch_b"), F.col("flip").alias("flip_b"))
+    spread = one.select("same", "low", "high", F.explode("prints").alias("print")).select("same", "low", "high", "print", flips)
+    variant = F.when(F.col("flip") < 0, F.col("print")).otherwise(F.expr("print ^ shiftleft(1L, flip)"))
+    # Both sides are one exchange, read twice. Variants are always shuffled and merged, whatever their size.
+    side = lambda x: spread.select(variant.alias("variant"), F.col("same").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("flip").alias(f"flip_{x}")).hint("merge")
     # Fingerprints that differ in two bits meet at two points, in one bit or none at more: one of them counts.
-    once = "same < b and (flip < 0 or flip_b > flip)"
-    met = variants.withColumnRenamed("same", "a").join(other, ["tab", "variant"]).where(f"{once.replace('same', 'a')} and bit_count(sketch ^ sketch_b) <= {sketch_most}")
-    candidates = met.select("tab", "a", "b").distinct()
-    side = lambda name: one.select("tab", F.col("same").alias(name), F.col("seqs").alias(f"seqs_{name}"))
-    both = candidates.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"])
-    both = both.withColumn("common", F.size(F.array_intersect("seqs_a", "seqs_b")))
+    once = "a < b and (flip_a < 0 or flip_b > flip_a)"
+    met = side("a").join(side("b"), "variant").where(f"{once} and bit_count(low_a ^ low_b) + bit_count(high_a ^ high_b) <= {sketch_most}")
+    candidates = met.select("a", "b").distinct()
+    sets = lambda x: one.select(F.col("same").alias(x), F.col("tab").alias(f"tab_{x}"), F.col("seqs").alias(f"seqs_{x}")).hint("merge")
+    both = candidates.join(sets("a"), "a").join(sets("b"), "b").withColumn("common", F.size(F.array_intersect("seqs_a", "seqs_b")))
     both = both.withColumn("similarity", F.col("common") / (F.size("seqs_a") + F.size("seqs_b") - F.col("common")))
-    return both.where(F.col("similarity") > least).select("tab", "a", "b", "similarity"), members
+    pairs = both.where(F.col("similarity") > least).select(F.col("tab_a").alias("tab"), "a", "b", "similarity")
+    return durable(pairs), members
 
 
 def key_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
