@@ -68,3 +68,46 @@ def test_shorter_quotations_do_not_hide_a_stretch():
         assert not contains(quotes, item, 15, 2)
         assert contains(quotes + stretch, item, 15, 2)
         assert contains(stretch + ["noise"] * 40 + quotes, item, 15, 2)
+
+
+def plain_stretch(doc, item, stretch=15, replaced=2):
+    """All stretches without gaps, by definition."""
+    for shift in range(-len(item), len(doc)):
+        same = [0 <= i + shift < len(doc) and doc[i + shift] == item[i] for i in range(len(item))]
+        for a in range(len(item)):
+            for z in range(a + stretch, len(item) + 1):
+                if same[a] and same[z - 1] and all(sum(same[k : k + stretch]) >= stretch - replaced for k in range(a, z - stretch + 1)):
+                    return True
+    return False
+
+
+def test_equals_brute_force_without_gaps():
+    for n in range(300):
+        item = some(40)
+        start, length = RNG.randrange(20), RNG.randint(12, 20)
+        quote = item[start : start + length]
+        for i in RNG.sample(range(length), RNG.randint(0, 3)):
+            quote[i] = f"other{i}"
+        doc = some(RNG.randrange(30)) + quote + some(RNG.randrange(30))
+        assert contains(doc, item, 15, 2) == plain_stretch(doc, item), (n, quote, item)
+
+
+def test_join_gives_the_same(spark):
+    items = [(i, "q", " ".join(some(45))) for i in range(10)]
+    docs = [(k, " ".join(some(30) + items[k % 10][2].split()[5 : 5 + 10 + k % 9] + some(30))) for k in range(60)]
+    d, i = spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(items, "item int, part string, text string")
+    want = {(k, k % 10) for k in range(60) if 10 + k % 9 >= 15}
+    for most in (0, 500_000):
+        assert {(r["doc"], r["item"]) for r in leaked_items(d, i, most_seeds=most).collect()} == want
+
+
+def test_a_very_long_document():
+    item = some(60)
+    doc = ["noise", *item[:12]] * 3000 + item[20:36]
+    assert contains(doc, item, 15, 2) and not contains(doc[:-2], item, 15, 2)
+
+
+def test_words_put_in_and_left_out():
+    item = some(50)
+    assert contains(some(9) + item[5:13] + ["put", "in"] + item[13:22] + some(9), item, 15, 2)
+    assert contains(some(9) + item[5:13] + item[14:23] + some(9), item, 15, 2)
