@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vitaeloom.llm.codepoints import fold_texts
 from vitaeloom.session import durable
 
-BITS, RADIUS, SKETCH, BINS = 12, 2, 128, 8
+BITS, RADIUS, SKETCH, BINS = 12, 2, 128, 4
 WORD = re.compile(r"[^\W_]+")
 FULL = np.iinfo(np.uint64).max
 
@@ -69,14 +69,19 @@ def json_text(source: str) -> str:
 
 
 def _words(texts: list[str]) -> list[list[str]]:
-    return [WORD.findall(t) for t in fold_texts([t.lower() for t in fold_texts(texts)])]
+    lower = [t.lower() for t in fold_texts(texts)]
+    # This capital alone becomes two characters.
+    again = [i for i, t in enumerate(lower) if "i\u0307" in t]
+    for i, t in zip(again, fold_texts([lower[i] for i in again])):
+        lower[i] = t
+    return [WORD.findall(t) for t in lower]
 
 
 class Fingerprints:
     """Words and bits of least hashes; the hash functions follow from a fixed seed.
 
-    One pass over the sequences under a function gives the least hash in each of BINS ranges of hashes;
-    an empty range takes the hash of the next one.
+    Sequences fall into BINS parts; one pass under a function gives the least hash of each part, and an
+    empty part takes the hash of the next one.
     """
 
     def __init__(self, tables: int, words: int = 1) -> None:
@@ -98,25 +103,27 @@ class Fingerprints:
         return np.fromiter((known[w] for w in words), np.uint64, len(words))
 
     def least(self, sets: list[np.ndarray]) -> np.ndarray:
-        """(n, slots): the least hashes of each set."""
+        """(n, slots): the least hashes of each set of sorted numbers."""
         n = len(sets)
-        flat = np.concatenate(sets).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        flat = np.concatenate(sets)
+        part = np.repeat(np.arange(n, dtype=np.int64) * BINS, [len(x) for x in sets]) + (flat >> np.uint32(32 - BINS.bit_length() + 1))
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        held = part[starts]
+        flat = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         flat ^= flat >> np.uint64(29)
-        row = np.repeat(np.arange(n, dtype=np.int64) * BINS, [len(x) for x in sets])
         out = np.empty((n, len(self.a) * BINS), np.uint64)
         for k, (a, b) in enumerate(zip(self.a, self.b)):
             h = flat * a + b
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             found = np.full(n * BINS, FULL)
-            np.minimum.at(found, row + (h >> np.uint64(61)).astype(np.int64), h)
+            found[held] = np.minimum.reduceat(h, starts)
             found = found.reshape(n, BINS)
             for _ in range(BINS - 1):
                 empty = found == FULL
                 if not empty.any():
                     break
-                found = np.where(empty, np.roll(found, -1, 1) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), found)
-                found[empty & (np.roll(empty, -1, 1))] = FULL
+                found = np.where(empty, np.where(np.roll(empty, -1, 1), FULL, np.roll(found, -1, 1) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)), found)
             out[:, k * BINS : (k + 1) * BINS] = found
         return out[:, : self.slots]
 
