@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from vitaeloom.llm.abuse import Features, Field, score_documents, source_rates, tokens_of, train_field, unmask
+from vitaeloom.llm.abuse import Features, Field, chunks_of, counted_numbers, pair_numbers, places_of, score_documents, source_rates, tokens_of, train_field, unmask
 
 FINE = ["The index starts at one.", "Use a left join.", "Restart the job and look at the log.", "It took me two hours to see it.", "That parser is stupidly slow but it works.", "I felt like an idiot when I found the comma.", "Kill the parent process first.", "Thanks for the long answer."]
 BAD = ["You are a worthless {} and everyone knows it.", "Shut your mouth, you {}.", "Nobody would miss you, {}.", "What a {} lol, get lost."]
@@ -76,7 +76,29 @@ def test_marginals_equal_enumeration():
 
 
 def test_disguises():
-    assert [unmask(w) for w in ("l0ser", "scumb@g", "m***n", "looooser", "i d i o t", "IDIOT", "123")] == ["loser", "scumbag", "moron", "loser", "idiot", "idiot", "9"]
-    words, places = tokens_of("You i d i o t, no!")
+    assert [unmask(w) for w in ("l0ser", "scumb@g", "looooser", "i d i o t", "IDIOT", "123", "m***n")] == ["loser", "scumbag", "loser", "idiot", "idiot", "9", "m*n"]
+    words, places = tokens_of("You i d i o t, no!"), places_of("You i d i o t, no!")
     assert words == ["You", "i d i o t", ",", "no", "!"] and places[1] == (4, 13)
-    assert len(Features()(words)) == 5
+    (features,) = Features()([words])
+    assert len(features) == 5
+
+
+def test_features_of_a_document_stand_alone():
+    reader, docs = Features(), [["a", "b"], [], ["c", "a", "b", "."]]
+    together = reader(docs)
+    for d, f in zip(docs, together):
+        assert (Features()([d])[0] == f).all() if d else len(f) == 0
+
+
+def test_counts_of_sentences():
+    numbers, is_pair, n = counted_numbers(Features(), ["A b. A a b!", None, "", "b a"])
+    word = Features().stack([["a", "b", "a"]])[0][2:5, 0]
+    got = {(int(x), bool(p)): int(c) for x, p, c in zip(numbers, is_pair, n)}
+    ab, ba = pair_numbers(word)
+    assert got[(0, False)] == 3 and got[(int(word.view("int64")[0]), False)] == 3 and got[(int(ab), True)] == 2 and got[(int(ba), True)] == 1
+
+
+def test_chunks_are_bounded():
+    sizes = [0, 5, 1000, 7, 3, 900]
+    chunks = chunks_of(sizes, 1000)
+    assert sorted(i for c in chunks for i in c) == [1, 2, 3, 4, 5] and all(len(c) == 1 or len(c) * max(sizes[i] for i in c) <= 1000 for c in chunks)
