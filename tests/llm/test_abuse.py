@@ -84,15 +84,15 @@ def test_disguises():
 
 
 def test_features_of_a_document_stand_alone():
-    reader, docs = Features(), [["a", "b"], [], ["c", "a", "b", "."]]
+    reader, docs = Features(), [["ape", "bee"], [], ["cat", "ape", "bee", "."]]
     together = reader(docs)
     for d, f in zip(docs, together):
         assert (Features()([d])[0] == f).all() if d else len(f) == 0
 
 
 def test_counts_of_sentences():
-    numbers, is_pair, n = counted_numbers(Features(), ["A b. A a b!", None, "", "b a"])
-    word = Features().stack([["a", "b", "a"]])[0][2:5, 0]
+    numbers, is_pair, n = counted_numbers(Features(), ["Ape bee. Ape ape bee!", None, "", "bee ape"])
+    word = Features().stack([["ape", "bee", "ape"]])[0][2:5, 0]
     got = {(int(x), bool(p)): int(c) for x, p, c in zip(numbers, is_pair, n)}
     ab, ba = pair_numbers(word)
     assert got[(0, False)] == 3 and got[(int(word.view("int64")[0]), False)] == 3 and got[(int(ab), True)] == 2 and got[(int(ba), True)] == 1

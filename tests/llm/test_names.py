@@ -1,5 +1,5 @@
 from vitaeloom.llm.graph import components
-from vitaeloom.llm.names import Reader, candidates, link_names, name_pairs, same_name
+from vitaeloom.llm.names import Reader, candidates, link_names, name_classes, name_pairs, same_name, slipped, sounds
 from vitaeloom.llm.strings import edits, jaro_winkler
 
 SAME = [
@@ -37,7 +37,7 @@ def test_measures():
     assert round(jaro_winkler("martha", "marhta"), 4) == 0.9611 and jaro_winkler("", "a") == 0 and jaro_winkler("a", "a") == 1
     assert (edits("abcd", "abdc", 2), edits("abc", "abc", 1), edits("abc", "xyz", 2), edits("", "ab", 2)) == (1, 0, 3, 2)
     assert same_name("brindoval marek", "brindovla marek", 0.8) and not same_name("brindoval", "brondaval", 0.8)
-    assert Reader(False).read("Shipping") == ("", "shipping")
+    assert Reader(False).read("Shipping") == ("", "shipping", "shipping")
 
 
 def test_components(spark):
@@ -65,8 +65,8 @@ def one_slip(word):
 def test_blocks_hold_all_that_is_accepted(spark):
     cores = sorted({*one_slip("lingelpaga"), *one_slip("norpin"), *(f"{x} {y}" for x, y in zip(one_slip("bridge"), one_slip("waters"))), "bridgewaters", "bridgewater", "brid. wate.", "ling.", "lingelp.", "lingel", "nor"})
     ids = {c: i for i, c in enumerate(cores)}
-    keys = spark.createDataFrame([("company", "foods", c, i) for c, i in ids.items()], "field string, kind string, core string, key bigint")
-    got = {(r["core"], r["core_b"]) for r in candidates(keys).collect()}
+    keys = spark.createDataFrame([("company", "foods", c, c.replace(" ", ""), i) for c, i in ids.items()], "field string, kind string, core string, run string, key bigint")
+    got = {(cores[r["key"]], cores[r["key_b"]]) for r in candidates(keys).collect()}
     want = {(a, b) for a in cores for b in cores if ids[a] < ids[b] and (same_name(a, b, 0.8) or same_name(b, a, 0.8))}
     assert len(want) > 1_000 and want <= got
 
@@ -80,3 +80,23 @@ def test_names_cut_short_without_a_full_stop(spark):
 def test_slips_that_reorder_tokens_and_long_short_forms(spark):
     groups = [["Borzabrorgrin & Masulbrook Logistics", "Orzabrorgrin & Masulbrook Logistics"], ["Bridgewater North Foods", "Ridgewater North Foods"], ["Torv. Optics", "Torvalenbrindoval Optics"]]
     assert linked(spark, [("company", n, "") for g in groups for n in g]) == sorted(map(sorted, groups))
+
+
+def test_slips_in_words_that_are_left_out(spark):
+    groups = [["The Brelvalelfa Software Group PLC", "Th Brelvalelfa Software Gruop Plc", "Brelvalelfa Software Pplc"], ["Keldavin Foods", "Keldavin Foods Ggmbh"], ["Ford Foods"]]
+    assert linked(spark, [("company", n, "") for g in groups for n in g]) == sorted(map(sorted, groups))
+    assert linked(spark, [("institution", n, "") for n in ("Keldavin Institute of Music", "keldavin institute oof music", "Keldavin Musicinstitute")]) == [sorted(["Keldavin Institute of Music", "keldavin institute oof music", "Keldavin Musicinstitute"])]
+
+
+def test_names_run_together(spark):
+    assert linked(spark, [("company", n, "") for n in ("Tor Valen Foods", "Torvalen Foods", "Valentor Foods")]) == [["Tor Valen Foods", "Torvalen Foods"], ["Valentor Foods"]]
+
+
+def test_codes():
+    assert sounds("torvalen") == "36145" and sounds("mann.") == "555" and sounds("aei") == "" and slipped("12") == ["12", "2", "1"]
+
+
+def test_classes(spark):
+    df = link_names(spark.createDataFrame([("company", n) for n in ("Torvalen Foods", "torvalen foods", "Torvalen Foods Ltd", "Kelda Foods", "Kelda Foods")], "field string, name string"))
+    got = {r["name"]: (r["class_id"], r["links"]) for r in name_classes(df).collect()}
+    assert [got[n][1] for n in ("Torvalen Foods", "torvalen foods", "Torvalen Foods Ltd", "Kelda Foods")] == [2, 2, 2, 0] and len({c for c, _ in got.values()}) == 2

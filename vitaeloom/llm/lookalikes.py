@@ -27,3 +27,15 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     b = kept.select("tab", "form", "proof", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
     pairs = kept.withColumnRenamed("key", "key_a").join(b, ["tab", "form", "proof"]).where("key_a < key_b and stored <> stored_b")
     return pairs.select("tab", "key_a", "key_b").distinct()
+
+
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """(tab, key, text) → (tab, key, class_id, links): one row for each row, links counts the rows that look the same and are stored differently.
+
+    A key with different texts has a row for each of their forms. Nothing is expanded into pairs.
+    """
+    rows = one_form(texts.where("text is not null and key is not null"), "text").select("tab", "key", F.sha2("one_form", 256).alias("class_id"), F.xxhash64("text").alias("stored")).distinct()
+    variants = rows.groupBy("tab", "class_id", "stored").agg(F.count_distinct("key").alias("n"))
+    sizes = variants.groupBy("tab", "class_id").agg(F.sum("n").alias("all"))
+    other = variants.join(sizes, ["tab", "class_id"]).select("tab", "class_id", "stored", (F.col("all") - F.col("n")).alias("links"))
+    return rows.join(other, ["tab", "class_id", "stored"]).groupBy("tab", "key", "class_id").agg(F.max("links").alias("links"))

@@ -2,11 +2,14 @@
 
 Every distinct name is reduced to what it names: legal forms, remarks, places and articles go,
 words for a line of business or a type of school become one word each through a table of short and
-foreign forms, and the rest, sorted, is the proper name. Keys are blocked by each sorted token, whole
-and without each of its letters, so that two tokens that are one slip of the hand apart share a code;
-short forms meet longer tokens by their beginning, and names of more tokens meet those of fewer by the
-tokens run together. Pairs in a block are compared with Jaro-Winkler and an edit bound; accepted pairs form connected
-components.
+foreign forms, and the rest, sorted, is the proper name. Names are blocked by the phonetic codes of all their
+sorted tokens: the code keeps the sound class of each consonant, so that one slip of the hand changes at most one
+class, and every name also emits its codes with one class left out of one or of two tokens. Short forms are
+blocked by the token they begin with, beside the codes of the other tokens; names written with and without blanks
+by the code of the whole run together. All pairs of a block are compared with Jaro-Winkler and an edit bound;
+accepted pairs form connected components.
+
+Whatever `same_name` accepts shares a block: at most two tokens of a name may have a slip, at most two may be short.
 
 Defined results: null and blank names have no row; repeated rows count once; a name that consists of
 table words only stands for itself; names that differ in case, blanks or punctuation are always one.
@@ -16,9 +19,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations, product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaeloom.llm.codepoints import fold_texts
@@ -45,8 +51,11 @@ SCHOOL = {
 LEGAL = "inc incorporated llc ltd limited gmbh plc corp corporation co company sa ag kg bv srl spa oy ab lc".split()
 COMPANY_DROP = set("the group and of holding holdings".split())
 SCHOOL_DROP = set("the of de del di der la le und and for ecole school escuela scuola hochschule".split())
-# Fixed value: least letters of a token that is cut short without a full stop.
-CLIPPED = 6
+# Least letters of a token that is cut short with and without a full stop.
+DOTTED, CLIPPED = 4, 6
+# Sound classes of consonants; vowels and h, w, y have none.
+SOUNDS = {c: str(i) for i, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
+SILENT = "aeiouhwy"
 
 
 class Reader:
@@ -82,9 +91,18 @@ class Reader:
 
     def legal(self, token: str) -> bool:
         bare = token.strip(".,")
-        return bare in LEGAL or len(bare) <= 4 and any(edits(bare, x, 1) <= 1 for x in ("inc", "llc", "ltd", "plc", "gmbh"))
+        return bare in LEGAL or len(bare) <= 5 and any(edits(bare, x, 1) <= 1 for x in ("inc", "llc", "ltd", "plc", "gmbh"))
+
+    def filler(self, token: str) -> bool:
+        """An article or a like word, perhaps with two letters swapped, one doubled or one left out."""
+        if token in self.drop or not token:
+            return True
+        for w in self.drop:
+            if len(w) == len(token) and sorted(w) == sorted(token) or len(token) == len(w) + 1 and re.sub(r"(.)\1", r"\1", token) == w or len(w) >= 3 and len(token) == len(w) - 1 and token[0] == w[0] and edits(token, w, 1) == 1 or len(w) >= 5 and edits(token, w, 1) == 1:
+                return True
+        return False
 
-    def read(self, name: str) -> tuple[str, str]:
+    def read(self, name: str) -> tuple[str, str, str]:
         s = plain(name)
         s = re.sub(r"\([^)]*\)|\[[^]]*\]", " ", s)
         s = re.sub(r"\b((?:\w\.){2,})", lambda m: m[1].replace(".", "") + " ", s)
@@ -104,14 +122,15 @@ class Reader:
             w = self.word(t)
             if w:
                 kinds.append(w)
-            elif bare in self.drop or not bare:
+            elif self.filler(bare):
                 continue
             elif (kinds or i == len(tokens) - 1) and core and self.legal(t):
                 continue
             else:
                 core.append(t if t.endswith(".") and len(bare) >= 4 else bare)
         if not core:
-            return "", " ".join(re.findall(r"\w+", plain(name)))
+            own = re.findall(r"\w+", plain(name))
+            return "", " ".join(own), "".join(own)
         split = []
         for t in core:
             for w in sorted(self.words, key=len, reverse=True):
@@ -119,80 +138,124 @@ class Reader:
                     kinds.append(w)
                     t = t[: -len(w)]
             split.append(t)
-        return " ".join(sorted(set(kinds))), " ".join(sorted(split))
+        return " ".join(sorted(set(kinds))), " ".join(sorted(split)), "".join(split)
 
     def tokens(self, piece: str) -> list[str]:
         out = []
         for t in re.findall(r"[^\W_]+\.?", re.sub(r"['’]", "", piece)):
-            if self.school and t.rstrip(".") == "statecollege":
-                out += ["state", "college"]
-            else:
-                out.append(t)
+            # Two table words without a blank between them.
+            first = next((w for w in self.words if t.startswith(w) and t[len(w) :].rstrip(".") in self.words), None)
+            out += [t] if first is None else [first, t[len(first) :]]
         return out
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """(field, name) → (field, name, kind, core): the parts that a name is compared by."""
+    """(field, name) → (field, name, kind, core, run): the parts that a name is compared by, its tokens sorted and run together."""
 
     def run(batches):
         readers = {"company": Reader(False), "institution": Reader(True)}
         for b in batches:
             got = [readers[f].read(n) for f, n in zip(b["field"], fold_texts(b["name"].tolist()))]
-            yield b.assign(kind=[k for k, _ in got], core=[c for _, c in got])
+            yield b.assign(kind=[k for k, _, _ in got], core=[c for _, c, _ in got], run=[r for _, _, r in got])
+
+    return names.mapInPandas(run, "field string, name string, kind string, core string, run string")
+
 
-    return names.mapInPandas(run, "field string, name string, kind string, core string")
+def sounds(token: str) -> str:
+    """The sound classes of the consonants of a token, repeated ones included; other characters stand for themselves."""
+    return "".join(SOUNDS.get(c, c) for c in token if c not in SILENT and c != ".")
 
 
-def slip_codes(text: str) -> Column:
-    """A text column, whole and without each of its letters: texts that are one insertion, deletion, replacement or swap apart share one."""
-    return F.expr(f"array_distinct(array_append(transform(sequence(1, length({text})), i -> concat(left({text}, i - 1), substr({text}, i + 1))), {text}))")
+def slipped(code: str) -> list[str]:
+    """A code and the same without each of its classes: codes that are one insertion, deletion, replacement or swap apart share one."""
+    return [code, *dict.fromkeys(code[:i] + code[i + 1 :] for i in range(len(code)))]
+
+
+def sound_blocks(tokens: list[str]) -> list[str]:
+    """The code of all tokens, sorted, and the same with a class left out of one or two of them."""
+    codes = [slipped(sounds(t)) for t in tokens]
+    rows = {tuple(sorted(c[0] for c in codes))}
+    for n in (1, 2):
+        for at in combinations(range(len(codes)), n):
+            for picked in product(*(codes[i] for i in at)):
+                rows.add(tuple(sorted([*picked, *(c[0] for k, c in enumerate(codes) if k not in at)])))
+    return ["s" + " ".join(r) for r in rows]
+
+
+def short_blocks(tokens: list[str], long: bool) -> list[str]:
+    """Blocks in which a name with one or two short tokens meets those that it may stand for (`long`)."""
+
+    def forms(token: str) -> list[str]:
+        bare = token.rstrip(".")
+        if long:
+            return [bare[:n] for n in range(DOTTED, len(bare) + 1)]
+        return [bare] if len(bare) >= (DOTTED if token.endswith(".") else CLIPPED) else []
+
+    codes = [slipped(sounds(t)) for t in tokens]
+    rows = set()
+    for n in (1, 2):
+        for at in combinations(range(len(tokens)), n):
+            rest = [k for k in range(len(tokens)) if k not in at]
+            others = {tuple(sorted(codes[k][0] for k in rest))}
+            if n == 1:
+                others |= {tuple(sorted([v, *(codes[m][0] for m in rest if m != k)])) for k in rest for v in codes[k]}
+            for picked in product(*(forms(tokens[i]) for i in at)):
+                rows |= {("p", *sorted(picked), "", *o) for o in others}
+    return [" ".join(r) for r in rows]
+
+
+def blocks(keys: DataFrame) -> DataFrame:
+    """(field, kind, core, run, key) → (block, side, key): the blocks of a name, as one that others stand for (1), as short form (0), or both (2)."""
+
+    def emit(batches):
+        for b in batches:
+            found, side, key = [], [], []
+            for f, k, c, r, n in zip(b["field"], b["kind"], b["core"], b["run"], b["key"]):
+                tokens = c.split(" ")
+                runs = {x for t in {r, "".join(tokens)} for x in slipped(sounds(t))}
+                for kind, rows in ((2, sound_blocks(tokens)), (2, ["r" + x for x in runs]), (1, short_blocks(tokens, True)), (0, short_blocks(tokens, False))):
+                    found += [xxhash.xxh64_intdigest(f"{f}\t{k}\t{x}") for x in rows]
+                    side += [kind] * len(rows)
+                    key += [n] * len(rows)
+            yield pd.DataFrame({"block": np.array(found, np.uint64).view(np.int64), "side": side, "key": key})
+
+    return keys.mapInPandas(emit, "block bigint, side int, key bigint").distinct()
 
 
 def candidates(keys: DataFrame) -> DataFrame:
-    """(field, kind, core, key) → (key, core, key_b, core_b), each pair once: all that same_name can accept."""
-    split = keys.withColumn("tokens", F.split("core", " ")).withColumn("n", F.size("tokens"))
-    tokens = split.select("field", "kind", "n", "key", "core", F.explode("tokens").alias("token"))
-    whole = split.select("field", "kind", "n", "key", "core", F.array_join("tokens", "").alias("token"))
-
-    def meet(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-        other = right.select("field", "kind", "code", F.col("n").alias("n_b"), F.col("key").alias("key_b"), F.col("core").alias("core_b"))
-        return left.join(other, ["field", "kind", "code"]).where(condition).select("key", "core", "key_b", "core_b")
-
-    code = lambda df, codes: df.select("field", "kind", "n", "key", "core", F.explode(codes).alias("code")).distinct()
-    slips, joined = code(tokens, slip_codes("token")), code(whole, slip_codes("token"))
-    # A short form is the beginning of what it stands for, of four letters or more with a full stop, else of CLIPPED.
-    bare = tokens.withColumn("bare", F.regexp_replace("token", r"\.$", "")).where("length(bare) >= 4")
-    short = code(bare.where(F.expr("token like '%.'") | (F.length("bare") >= CLIPPED)), F.array("bare"))
-    longer = code(bare, F.expr("transform(sequence(4, length(bare)), i -> left(bare, i))"))
-    pairs = meet(slips, slips, "key < key_b and n = n_b").unionByName(meet(joined, joined, "key < key_b and n <> n_b")).unionByName(meet(short, longer, "key <> key_b and n = n_b"))
-    first = F.col("key") < F.col("key_b")
-    side = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
-    return pairs.select(side("key", "key_b", "key"), side("core", "core_b", "core"), side("key_b", "key", "key_b"), side("core_b", "core", "core_b")).distinct()
-
-
-def same_name(a: str, b: str, least: float) -> bool:
-    """Two proper names, as sorted tokens: every token matches its counterpart but for one slip, one token is cut short, or they are one when run together."""
+    """(field, kind, core, run, key) → (key, key_b), each pair once: all that same_name can accept."""
+    b = blocks(keys)
+    alike = b.where("side = 2").select("block", "key")
+    met = alike.join(alike.select("block", F.col("key").alias("key_b")), "block").where("key < key_b").select("key", "key_b")
+    short = b.where("side = 0").select("block", "key").join(b.where("side = 1").select("block", F.col("key").alias("key_b")), "block").where("key <> key_b")
+    return met.unionByName(short.select(F.least("key", "key_b").alias("key"), F.greatest("key", "key_b").alias("key_b"))).distinct()
+
+
+def same_name(a: str, b: str, least: float, run_a: str = "", run_b: str = "") -> bool:
+    """Two proper names, as sorted tokens: every token matches its counterpart but for one slip, in two tokens at most; tokens are cut short; or they are one when run together."""
     x, y = a.split(), b.split()
     if len(x) != len(y):
-        return edits("".join(x), "".join(y), 1) <= 1
+        return any(edits(r, q, 1) <= 1 for r in {run_a or "".join(x), "".join(x)} for q in {run_b or "".join(y), "".join(y)})
     rest = [*(Counter(x) - Counter(y)), *(Counter(y) - Counter(x))]
     if len(rest) == 2:
         # All other tokens are equal: a beginning of six letters stands for the whole, also without a full stop.
         short, long = sorted(rest, key=len)
         if len(short) >= CLIPPED and long.startswith(short):
             return True
-    slips = 0
+    slips = shorts = 0
     for s in x:
         best = max(y, key=lambda t: jaro_winkler(s, t))
         short, long = sorted((s, best), key=len)
-        if s == best or short.endswith(".") and long.startswith(short[:-1]):
-            y.remove(best)
+        y.remove(best)
+        if s == best:
+            continue
+        if short.endswith(".") and len(short) > DOTTED and long.startswith(short[:-1]):
+            shorts += 1
             continue
         if min(len(s), len(best)) < 5 or jaro_winkler(s, best) < least or edits(s, best, 1) > 1:
             return False
         slips += 1
-        y.remove(best)
-    return slips <= 1 or len(x) > 1
+    return shorts <= 2 and slips <= (2, 1, 0)[shorts] and (slips <= 1 or len(x) > 1)
 
 
 def link_names(names: DataFrame, least: float = 0.8) -> DataFrame:
@@ -202,18 +265,26 @@ def link_names(names: DataFrame, least: float = 0.8) -> DataFrame:
     """
     distinct = names.where("name is not null and trim(name) <> ''").select("field", "name").distinct()
     read = durable(read_names(distinct).withColumn("key", F.xxhash64("field", "kind", "core")))
-    keys = read.select("field", "kind", "core", "key").distinct()
+    keys = durable(read.groupBy("field", "kind", "core", "key").agg(F.min("run").alias("run")))
     pairs = candidates(keys)
+    core = lambda k, c, r: keys.select(F.col("key").alias(k), F.col("core").alias(c), F.col("run").alias(r))
+    pairs = pairs.join(core("key", "core", "run"), "key").join(core("key_b", "core_b", "run_b"), "key_b")
 
     def compare(batches):
         for b in batches:
-            yield pd.DataFrame({"a": b["key"], "b": b["key_b"]})[[same_name(x, y, least) for x, y in zip(b["core"], b["core_b"])]]
+            yield pd.DataFrame({"a": b["key"], "b": b["key_b"]})[[same_name(x, y, least, r, q) for x, y, r, q in zip(b["core"], b["core_b"], b["run"], b["run_b"])]]
 
     links = pairs.mapInPandas(compare, "a bigint, b bigint")
     groups = components(links)
     return read.join(groups.withColumnRenamed("node", "key"), "key", "left").select("field", "name", F.coalesce("component", "key").alias("org"))
 
 
+def name_classes(linked: DataFrame) -> DataFrame:
+    """(field, name, class_id, links): every spelling with its organisation and the number of its other spellings; nothing is expanded into pairs."""
+    sizes = linked.groupBy("field", "org").agg((F.count("*") - 1).alias("links"))
+    return linked.join(sizes, ["field", "org"]).select("field", "name", F.col("org").alias("class_id"), "links")
+
+
 def name_pairs(linked: DataFrame) -> DataFrame:
     """All pairs of different stored spellings of one organisation, the smaller one first."""
     a = linked.select("field", "org", F.col("name").alias("name_a"))

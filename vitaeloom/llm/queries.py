@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 from vitaeloom.session import table
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    from vitaeloom.llm.names import link_names, name_pairs
+def _linked(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.names import link_names
 
     typed = table(spark, folder, "work_entries").select(F.lit("company").alias("field"), F.col("company").alias("name"))
     typed = typed.unionByName(table(spark, folder, "education_entries").select(F.lit("institution").alias("field"), F.col("institution").alias("name")))
-    return name_pairs(link_names(typed))
+    return link_names(typed)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.names import name_pairs
+
+    return name_pairs(_linked(spark, folder))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its organisation and the number of its other spellings."""
+    from vitaeloom.llm.names import name_classes
+
+    return name_classes(_linked(spark, folder))
 
 
 def _submissions(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,13 +95,24 @@ def p4_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return none.groupBy("tab", F.col("normal").alias("value")).agg(F.count("*").alias("rows"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    from vitaeloom.llm.lookalikes import lookalike_pairs
-
+def _visible(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "resume_lines").where(F.col("source").isin("work", "project"))
     texts = lines.select(F.lit("resume_lines").alias("tab"), F.col("line_id").alias("key"), F.col("raw_text").alias("text"))
     texts = texts.unionByName(table(spark, folder, "resumes").select(F.lit("resumes").alias("tab"), F.col("resume_id").alias("key"), F.col("raw_text").alias("text")))
-    return lookalike_pairs(texts)
+    return texts
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from vitaeloom.llm.lookalikes import lookalike_pairs
+
+    return lookalike_pairs(_visible(spark, folder))
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with the class of rows that look the same and the number of those that are stored differently."""
+    from vitaeloom.llm.lookalikes import lookalike_classes
+
+    return lookalike_classes(_visible(spark, folder))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
