@@ -1,11 +1,11 @@
 """Free-entered values mapped to the entries of a reference list.
 
-Values are normalised and deduplicated. Every entry is indexed by its character n-grams: the padded
-trigrams of its tokens and, apart from these, of the tokens without vowels, each with its inverse
-frequency in the list as weight. A value retrieves all entries with which it shares a gram, scored by
-the weighted cosine; pairs above the threshold are checked exactly, token by token (slips, short
-forms, dropped vowels, joined and split tokens, changed order, added remarks). The best entry is
-accepted if its score leads the next accepted one of other wording by the margin.
+Values are normalised (look-alike characters, case, blanks, remarks that people add) and deduplicated. Every entry is
+indexed by its character n-grams: the padded bigrams and trigrams of its tokens, the trigrams with their letters
+sorted, which a swap of neighbours leaves alone, and the trigrams of the tokens without vowels, each with its inverse
+frequency in the list as weight; and once more by the last kind alone, for values typed without vowels. A value retrieves all entries with which it shares a gram, scored by the weighted
+cosine. The entry with the highest cosine is accepted if it reaches the threshold and leads every entry of another
+wording by the margin; a token check (slips, short forms, dropped vowels, joined and split tokens) may veto it.
 
 Defined results: null and blank values and values without letters have no entry; a value that is an
 entry but for case and blanks is reported with zero slips; an entry under several targets gives a row
@@ -14,6 +14,7 @@ for each; ties within the margin between different wordings give none.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -33,14 +34,27 @@ def spaced(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(folded(value), r"(?U)\s+", " ")))
 
 
+def bare(value: Column) -> Column:
+    """A spaced value without the remarks around what is meant; the value itself if it is nothing but remarks."""
+    tokens = F.split(F.trim(F.regexp_replace(value, r"[^\p{L}\p{N}.+#&'/-]+", " ")), " ")
+    kept = F.filter(tokens, lambda t: ~F.rtrim(t, F.lit(".")).isin(*REMARKS) & ~t.rlike(r"^v?\d+[.\d]*\+?$"))
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(value)
+
+
 def grams(value: Column) -> Column:
-    """Distinct padded trigrams of the tokens of a normal value, with and without vowels."""
+    """Distinct grams of the tokens of a normal value: bigrams (=), trigrams, trigrams sorted (#) and without vowels (~)."""
     tokens = F.filter(F.split(F.regexp_replace(value, r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
-    full = F.flatten(F.transform(tokens, lambda t: cut(F.concat(F.lit("^"), t, F.lit("$")))))
-    bare = F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, "[aeiou]", "")), lambda t: F.length(t) >= 2)
-    thin = F.flatten(F.transform(bare, lambda t: F.transform(cut(F.concat(F.lit("^"), t, F.lit("$"))), lambda g: F.concat(F.lit("~"), g))))
-    return F.array_distinct(F.concat(full, thin))
+    cut = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))
+    padded = lambda ts: F.transform(ts, lambda t: F.concat(F.lit("^"), t, F.lit("$")))
+    every = lambda ts, n: F.flatten(F.transform(padded(ts), lambda t: cut(t, n)))
+    marked = lambda xs, mark, f=lambda x: x: F.transform(xs, lambda g: F.concat(F.lit(mark), f(g)))
+    ordered = lambda g: F.array_join(F.array_sort(F.array(*[F.substring(g, k, 1) for k in (1, 2, 3)])), "")
+    thin = F.filter(F.transform(tokens, lambda t: F.regexp_replace(t, "[aeiou]", "")), lambda t: F.length(t) >= 2)
+    return F.array_distinct(F.concat(every(tokens, 3), marked(every(tokens, 2), "="), marked(every(tokens, 3), "#", ordered), marked(every(thin, 3), "~")))
+
+
+def thin_grams(all_grams: Column) -> Column:
+    return F.filter(all_grams, lambda g: g.startswith("~"))
 
 
 def _tokens(s: str) -> list[str]:
@@ -107,28 +121,41 @@ def meant(value: str, form: str) -> int | None:
     return best
 
 
-def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.2, margin: float = 0.02) -> DataFrame:
-    """(tab, row_key, value) and (target, entry) → (tab, row_key, value, target, entry, score, slips), one row for each target meant.
+def near_entries(asked: DataFrame, wordings: DataFrame, n: int) -> DataFrame:
+    """(vid, grams) and (form, grams) → (vid, form, score): the weighted cosine of every value and entry that share a gram."""
+    ways = wordings.select("form", F.lit(False).alias("thin"), "grams").unionByName(wordings.select("form", F.lit(True).alias("thin"), thin_grams(F.col("grams")).alias("grams")))
+    postings = ways.select(F.struct("form", "thin").alias("form"), F.explode("grams").alias("gram"))
+    weight = postings.groupBy("gram").agg(F.log(F.lit(n + 1.0) / F.count("*")).alias("w"))
+    norms = postings.join(weight, "gram").groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
+    small = F.broadcast if n <= BROADCAST_ENTRIES else (lambda d: d)
+    spread = asked.select("vid", F.explode("grams").alias("gram")).join(small(weight), "gram", "left").withColumn("w", F.coalesce("w", F.lit(math.log(n + 1.0))))
+    value_norm = spread.groupBy("vid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = spread.join(small(postings), "gram").groupBy("vid", "form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    scored = dots.join(value_norm, "vid").join(small(norms), "form").withColumn("score", F.col("dot") / (F.col("norm") * F.col("form_norm")))
+    return scored.groupBy("vid", F.col("form.form").alias("form")).agg(F.max("score").alias("score"))
 
-    Rows without a match have null target, entry, score and slips, so that they can be reported.
+
+def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.35, margin: float = 0.02) -> DataFrame:
+    """(tab, row_key, value) and (target, entry) → (tab, row_key, value, normal, form, target, entry, score, slips), one row for each target meant.
+
+    Rows without a match have null form, target, entry, score and slips, so that they can be reported.
     """
     rows = values.where("row_key is not null").select("tab", "row_key", "value", spaced(F.col("value")).alias("normal")).withColumn("vid", F.xxhash64("normal"))
     rows = durable(rows.dropDuplicates(["tab", "row_key"]))
-    asked = durable(rows.where(F.col("normal").rlike(r"\p{L}")).groupBy("vid").agg(F.first("normal").alias("normal")))
+    asked = rows.where(F.col("normal").rlike(r"\p{L}")).groupBy("vid").agg(F.first("normal").alias("normal"))
+    asked = asked.withColumn("bare", bare(F.col("normal"))).withColumn("grams", grams(F.col("bare")))
+    asked = durable(asked.withColumn("grams", F.when(F.col("bare").rlike("[aeiou]"), F.col("grams")).otherwise(thin_grams(F.col("grams")))).drop("bare"))
     forms = entries.where("entry is not null and target is not null").select("target", "entry", spaced(F.col("entry")).alias("form"))
     wordings = durable(forms.select("form").distinct().withColumn("grams", grams(F.col("form"))))
     n = wordings.count()
-    postings = wordings.select("form", F.explode("grams").alias("gram"))
-    weight = postings.groupBy("gram").agg((F.log(F.lit(n + 1.0) / F.count("*"))).alias("w"), F.collect_list("form").alias("forms"))
-    norms = postings.join(weight.select("gram", "w"), "gram").groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
     small = F.broadcast if n <= BROADCAST_ENTRIES else (lambda d: d)
-    most = F.lit(float(n + 1))
-    spread = asked.select("vid", F.explode(grams(F.col("normal"))).alias("gram"))
-    found = spread.join(small(weight), "gram", "left").select("vid", F.coalesce("w", F.log(most)).alias("w"), "forms")
-    value_norm = found.groupBy("vid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = found.where("forms is not null").select("vid", "w", F.explode("forms").alias("form")).groupBy("vid", "form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = dots.join(value_norm, "vid").join(small(norms), "form").withColumn("score", F.col("dot") / (F.col("norm") * F.col("form_norm"))).where(F.col("score") >= threshold)
-    near = scored.join(asked, "vid").select("vid", "normal", "form", "score")
+    scored = near_entries(asked, wordings, n)
+    exact = asked.join(small(wordings), asked["normal"] == wordings["form"]).select("vid", "form", F.lit(2.0).alias("score"))
+    # The best two entries of a value say whether the margin is kept.
+    two = F.slice(F.sort_array(F.array_agg(F.struct("score", "form")), asc=False), 1, 2)
+    best = scored.where(F.col("score") >= threshold - margin).unionByName(exact).groupBy("vid").agg(two.alias("two"))
+    kept = best.where((F.col("two")[0]["score"] >= threshold) & ((F.size("two") < 2) | (F.col("two")[0]["score"] - F.get("two", 1)["score"] >= margin) | (F.col("two")[0]["form"] == F.get("two", 1)["form"])))
+    near = kept.select("vid", F.col("two")[0]["form"].alias("form"), F.least(F.col("two")[0]["score"], F.lit(1.0)).alias("score")).join(asked.select("vid", "normal"), "vid")
 
     def check(batches):
         for b in batches:
@@ -136,10 +163,5 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.2, ma
             kept = [s is not None for s in slips]
             yield b[kept][["vid", "form", "score"]].assign(slips=[s for s in slips if s is not None])
 
-    good = near.mapInPandas(check, "vid bigint, form string, score double, slips int")
-    ranked = good.groupBy("vid").agg(F.max_by(F.struct("form", "score", "slips"), F.struct(-F.col("slips"), "score", "form")).alias("best"), F.collect_list(F.struct("slips", "score")).alias("all"))
-    ahead = F.size(F.filter("all", lambda x: (x["slips"] == F.col("best.slips")) & (x["score"] > F.col("best.score") - margin))) == 1
-    chosen = ranked.where(ahead).select("vid", "best.form", "best.score", "best.slips").join(small(forms), "form")
-    return rows.join(chosen, "vid", "left").select("tab", "row_key", "value", "normal", "form", "target", "entry", "score", "slips")
-
-
+    good = near.select("vid", "normal", "form", "score").mapInPandas(check, "vid bigint, form string, score double, slips int")
+    return rows.join(good.join(small(forms), "form"), "vid", "left").select("tab", "row_key", "value", "normal", "form", "target", "entry", "score", "slips")
