@@ -145,8 +145,8 @@ def test_layout_checks(spark):
     pages = spark.createDataFrame([("t", 1, 0, 1, 500), ("i", 1, 1, 0, 3), ("ok", 1, 0, 0, 900)], "doc_id string, page int, n_images int, n_tables int, n_chars int")
     got = {(r["doc_id"], r["check_name"]): r["status"] for r in checks.check_pages(pages).collect()}
     assert got["t", "table_detected"] == got["i", "image_based_pdf"] == "fail" and got["ok", "table_detected"] == "pass"
-    fonts = spark.createDataFrame([("s", "Wingdings", 3), ("c", "Arial", 97), ("c", "(cid)", 3), ("ok", "Arial", 5)], "doc_id string, font string, n int")
-    assert {r["doc_id"]: r["status"] for r in checks.check_fonts(fonts).collect()} == {"s": "fail", "c": "fail", "ok": "pass"}
+    fonts = spark.createDataFrame([("s", "Wingdings", 3), ("c", "Arial", 97), ("c", "(cid)", 3), ("ok", "Arial", 5), ("z", "ZapfDingbats", 1), ("u", "unnamed", 1), ("n", "Silicon Sans", 1)], "doc_id string, font string, n int")
+    assert {r["doc_id"]: r["status"] for r in checks.check_fonts(fonts).collect()} == {"s": "fail", "c": "fail", "ok": "pass", "z": "fail", "u": "fail", "n": "pass"}
     margins = spark.createDataFrame([("r", 1, "me@x.example", 770.0, 790.0, 800.0), ("r", 2, "me@x.example", 770.0, 790.0, 800.0), ("o", 1, "me@x.example", 770.0, 790.0, 800.0)], "doc_id string, page int, text string, top double, bottom double, page_height double")
     assert {r["doc_id"]: r["status"] for r in checks.check_margins(margins).collect()} == {"r": "fail", "o": "pass"}
 

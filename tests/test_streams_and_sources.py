@@ -128,6 +128,16 @@ def test_files(spark, tmp_path):
     assert failed == {"multi_column_layout", "table_detected", "header_footer_content"}
 
 
+def test_docx_rows_and_margins():
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    row = lambda *cells: "<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in cells) + "</w:tr>"
+    body = p("SKILLS") + "<w:tbl>" + row("Skills:", "Python") + row("", "Acme", "2020") + row("Tools", "Git", "", "Make") + "</w:tbl>" + "<w:p><w:r><w:txbxContent>" + p("Box text") + "</w:txbxContent></w:r></w:p>"
+    parts = files.docx_parts(docx(body, "Page 1"))
+    assert parts["text"] == "Box text\nSKILLS\nSkills:\nPython\nAcme\n2020\nTools: Git, Make\n" and parts["margin_text"] == ""
+    assert parts["table_notes"] == ["3x4 table after 'SKILLS'"] and parts["box_texts"] == ["Box text"]
+    assert files.docx_parts(docx(p("x"), "A header of many words here"))["margin_zone"] == "header (section 1)"
+
+
 def test_submissions(spark):
     rows = [("x" * 100, "y" * 200, 1), ("x", "y" * 200, 1), ("x" * 100, None, 1), ("x" * 100, "y", 1), ("x" * 100, "y" * 200, 10**8)]
     df = files.check_submissions(spark.createDataFrame(rows, "posting_text string, resume_text string, n_bytes bigint"))

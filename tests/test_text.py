@@ -32,6 +32,7 @@ def test_lines_keep_order_and_blanks(spark):
 def test_clip_and_metrics(spark):
     assert one(spark, "x" * 160, tx.clip) == "x" * 160
     assert one(spark, "x" * 158 + "  yz", tx.clip) == "x" * 158 + "…"
+    assert one(spark, "x" * 161, tx.clip) == "x" * 160 + "…" and one(spark, "word " * 100, tx.clip) == ("word " * 32).strip() + "…"
     assert one(spark, "", tx.reading_ease) == 100.0
     easy = one(spark, "The cat sat. The dog ran.", tx.reading_ease)
     hard = one(spark, "Interdisciplinary organisational considerations necessitate prioritisation", tx.reading_ease)

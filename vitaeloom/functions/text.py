@@ -86,7 +86,7 @@ def explode_lines(df: DataFrame, text: str, *keys: str, keep_blank: bool = True)
 
 def clip(text: Column, most: int = 160) -> Column:
     """A text of at most `most` characters as it is, a longer one cut, with an ellipsis."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"(?U)\s+\z", ""), F.lit("…")))
 
 
 def terms(text: Column) -> Column:

@@ -29,8 +29,10 @@ SEVERITY = (
 RANK = {"n/a": 0, "low": 1, "medium": 2, "high": 3}
 PENALTY = {"n/a": 0, "low": 5, "medium": 15, "high": 25}
 FAMILY_WORDS = {"text": "month name and year", "numeric": "numeric month/year", "year": "year only"}
-CONTACT = r"(?U)[\w.+-]+@[\w-]+\.\w+|\(?\+?\d[\d\s().-]{7,}\d|(?i:linkedin|github)\.com"
-SYMBOL_FONT = r"(?i)symbol|wingding|webding|dingbat|icon|type3|awesome"
+# Patterns of contact data in margins, of symbol fonts, and of fonts drawn by the page itself.
+CONTACT = r"(?U)@|\(?\+?\d[\d\s().-]{7,}\d"
+SYMBOL_FONT = r"(?i)zapf|dingbat|wingding|webding|symbol|fontawesome|font-awesome|icomoon|material.?icons|glyphicons"
+DRAWN_FONT = r"(?i)type3|\bT3\b|unnamed"
 
 
 def severity_dimension(spark: SparkSession) -> DataFrame:
@@ -54,14 +56,17 @@ def full_report(resumes: DataFrame, observed: DataFrame, key: str = "resume_id")
     """(key, check_idx, check_name, status, location): every check for every resume."""
     names = F.array(*[F.struct(F.lit(i).alias("check_idx"), F.lit(n).alias("check_name")) for i, (n, _) in enumerate(SEVERITY)])
     every = resumes.select(key).distinct().select(key, F.inline(names))
-    seen = observed.select(key, "check_name", "status", "location").dropDuplicates([key, "check_name"])
+    # Of several observations of a check a failure wins, then the first location by name.
+    grade = F.when(F.col("status") == "fail", 0).when(F.col("status") == "pass", 1).otherwise(2)
+    first = F.min_by(F.struct("status", "location"), F.struct(grade, F.coalesce("location", F.lit(""))))
+    seen = observed.groupBy(key, "check_name").agg(first.alias("_seen")).select(key, "check_name", "_seen.*")
     return every.join(seen, [key, "check_name"], "left").select(key, "check_idx", "check_name", F.coalesce("status", F.lit("not_assessed")).alias("status"), F.coalesce("location", F.lit("")).alias("location"))
 
 
 def parseability_scores(report: DataFrame, severity: DataFrame, key: str = "resume_id") -> DataFrame:
     """(key, parseability, n_failed, n_assessed): 100 less the penalties of failed checks, at least 0."""
     failed = F.col("status") == "fail"
-    joined = report.join(F.broadcast(severity.select("check_name", "penalty")), "check_name", "left")
+    joined = report.join(severity.select("check_name", "penalty"), "check_name", "left")
     lost = F.coalesce(F.sum(F.when(failed, F.col("penalty"))), F.lit(0))
     return joined.groupBy(key).agg(F.greatest(F.lit(0), 100 - lost).cast("int").alias("parseability"), F.count_if(failed).alias("n_failed"), F.count_if(F.col("status") != "not_assessed").alias("n_assessed"))
 
@@ -119,7 +124,7 @@ def check_pages(pages: DataFrame, least_chars: int = 40) -> DataFrame:
 
 def check_fonts(fonts: DataFrame, cid_share: float = 0.01) -> DataFrame:
     """Symbol fonts, or more than a share of characters without a known code; font '(cid)' counts the latter."""
-    docs = fonts.groupBy("doc_id").agg(F.min(F.when(F.col("font").rlike(SYMBOL_FONT), F.col("font"))).alias("symbol"), F.sum(F.when(F.col("font") == "(cid)", F.col("n")).otherwise(0)).alias("cid"), F.sum("n").alias("n"))
+    docs = fonts.groupBy("doc_id").agg(F.min(F.when(F.col("font").rlike(SYMBOL_FONT) | F.col("font").rlike(DRAWN_FONT), F.col("font"))).alias("symbol"), F.sum(F.when(F.col("font") == "(cid)", F.col("n")).otherwise(0)).alias("cid"), F.sum("n").alias("n"))
     return _status(docs, "non_standard_font", F.col("symbol").isNotNull() | (F.col("cid") > F.col("n") * cid_share), F.coalesce("symbol", F.lit("unmapped characters")))
 
 
@@ -133,14 +138,16 @@ def check_margins(lines: DataFrame, margin: float = 0.08) -> DataFrame:
 
 def check_docx(parts: DataFrame) -> DataFrame:
     """From sources.files.read_docx: tables, text boxes, columns, symbol fonts, images and header text of DOCX files."""
-    contact = F.col("margin_text").rlike(CONTACT) | (F.length(F.trim(F.coalesce("margin_text", F.lit("")))) > 20)
+    found = F.coalesce("margin_text", F.lit("")) != ""
+    symbols = F.filter("fonts", lambda f: f.rlike(SYMBOL_FONT))
+    chars = F.length(F.regexp_replace(F.concat("body_text", F.array_join("box_texts", "")), r"(?U)\s", ""))
     checks = (
-        ("multi_column_layout", F.col("n_columns") >= 2, F.lit("section with columns")),
-        ("table_detected", F.col("n_tables") > 0, F.concat(F.col("n_tables").cast("string"), F.lit(" table(s)"))),
-        ("text_box_detected", F.col("n_text_boxes") > 0, F.concat(F.col("n_text_boxes").cast("string"), F.lit(" text box(es)"))),
-        ("non_standard_font", F.exists("fonts", lambda f: f.rlike(SYMBOL_FONT)), F.lit("symbol font")),
-        ("image_based_pdf", (F.col("n_images") > 0) & (F.length(F.regexp_replace("text", r"(?U)\s", "")) < 40), F.lit("no text")),
-        ("header_footer_content", contact, F.col("margin_text")),
+        ("multi_column_layout", F.col("n_columns") >= 2, F.lit("Section formatted with two or more columns")),
+        ("table_detected", F.col("n_tables") > 0, F.array_join("table_notes", "; ")),
+        ("text_box_detected", F.size("box_texts") > 0, F.concat(F.lit('Text box containing: "'), F.substring(F.array_join("box_texts", " / "), 1, 80), F.lit('"'))),
+        ("non_standard_font", F.size(symbols) > 0, F.concat(F.lit("Symbol/icon fonts: "), F.array_join(symbols, ", "))),
+        ("image_based_pdf", (F.col("n_images") > 0) & (chars < 40), F.lit("Document is images only, no text")),
+        ("header_footer_content", found, F.concat(F.lit("Content in the document "), "margin_zone", F.lit(': "'), F.substring("margin_text", 1, 60), F.lit('"'))),
     )
     out = [_status(parts, *c) for c in checks]
     first = out[0]
@@ -153,4 +160,4 @@ def check_view(report: DataFrame, dimension: DataFrame, key: str = "resume_id")
     """(key, check_idx, label, status, location, one severity column per platform)."""
     wide = dimension.groupBy("check_name").pivot("platform", list(PLATFORMS)).agg(F.first("severity"))
     label = F.concat(F.upper(F.substring("check_name", 1, 1)), F.translate(F.expr("substring(check_name, 2)"), "_", " "))
-    return report.join(F.broadcast(wide), "check_name", "left").select(key, "check_idx", label.alias("label"), "status", "location", *PLATFORMS)
+    return report.join(wide, "check_name", "left").select(key, "check_idx", label.alias("label"), "status", "location", *PLATFORMS)

@@ -12,6 +12,7 @@ both; mentions inside another mention of the same cluster don't count, overlappi
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,13 +94,15 @@ class Spans:
         """(cluster, form, start, end), by place, then by cluster."""
         starts = {r[:n].lower() for r in self.RUN.findall(text) for n in (1, 2, 3)} if not self.FOLDED.search(text) else self.by_start
         patterns = [e for s in starts for e in self.by_start.get(s, ())] + self.always
-        found = [(c, m.start(), -m.end(), f) for c, f, p in patterns for m in p.finditer(text)]
-        found.sort()
-        kept: list[tuple[str, str, int, int]] = []
-        for c, start, minus_end, f in found:
-            if kept and kept[-1][0] == c and kept[-1][2] <= start and -minus_end <= kept[-1][3]:
-                continue
-            kept.append((c, f, start, -minus_end))
+        by_cluster: dict[str, list[tuple[int, int, str]]] = {}
+        for c, f, p in patterns:
+            by_cluster.setdefault(c, []).extend((m.start(), -m.end(), f) for m in p.finditer(text))
+        kept = []
+        for c, found in by_cluster.items():
+            found.sort()
+            # A mention counts if it ends beyond all that begin before it, or with it and are longer.
+            reach = accumulate((-e for _, e, _ in found), max, initial=-1)
+            kept += [(c, f, start, -end) for (start, end, f), before in zip(found, reach) if -end > before]
         return sorted(kept, key=lambda x: (x[2], x[0]))
 
 

@@ -9,9 +9,11 @@ from vitaeloom.functions.text import word_count
 
 # Limits, lead-ins of requirement lines, ends of fragments, and words that are no term.
 MOST_CHARS, RESUME_WORDS, POSTING_WORDS = 40, 5, 3
-QUALIFIERS = r"strong|solid|deep|hands[\s-]+on|working|proven|demonstrated|prior|previous|extensive|some|basic|good|excellent|practical|professional"
-NOUNS = r"experience|proficiency|proficient|familiarity|familiar|knowledge|expertise|understanding|background|exposure|competence|competency|skills?|ability|comfortable|fluency|fluent"
-LEAD_IN = rf"(?iU)^(?:\W*(?:{QUALIFIERS})\s+)*(?:{NOUNS})\s*(?:with|in|of|using|to|on)?\s*"
+LEAD_IN = (
+    r"(?iU)^(?:\W*(?:strong|solid|deep|hands[\s-]+on|working|proven|demonstrated|prior|previous|extensive|some|basic|good|excellent|practical|professional)\s+)*"
+    r"(?:experience|proficiency|proficient|familiarity|familiar|knowledge|expertise|understanding|background|exposure|competence|competency|skills?|ability|comfortable|fluency|fluent)"
+    r"\s*(?:with|in|of|using|to|on)?\s*"
+)
 FRAGMENT_END = r"(?iU)\s*(?:,|;|/|\(|\)|\bor\b|\band\b|\betc\.?)\s*"
 NO_TERM = ("", "a", "an", "the", "other", "others", "similar", "related", "tools", "technologies", "frameworks", "equivalent", "such as", "e.g", "eg", "ie", "i.e")
 
@@ -27,12 +29,12 @@ def candidate_terms(skills: DataFrame, requirements: DataFrame, *keys: str) -> D
     """(keys, side, term) once per submission: skills and requirement fragments without a cluster.
 
     skills and requirements have (keys, raw_text, clusters); a requirement without a lead-in is prose and
-    gives none.
+    gives none. A term of both sides is one of the resume.
     """
     a = skills.where("size(clusters) = 0").select(*keys, F.lit("resume").alias("side"), clean_term(F.col("raw_text"), RESUME_WORDS).alias("term"))
     led = requirements.where("size(clusters) = 0").select(*keys, F.trim("raw_text").alias("_t")).withColumn("_b", F.regexp_replace("_t", LEAD_IN, "")).where("_b <> _t")
     b = led.select(*keys, F.lit("posting").alias("side"), F.explode(F.split("_b", FRAGMENT_END)).alias("_f")).select(*keys, "side", clean_term(F.col("_f"), POSTING_WORDS).alias("term"))
-    return a.unionByName(b).where("term is not null").dropDuplicates([*keys, "term"])
+    return a.unionByName(b).where("term is not null").groupBy(*keys, "term").agg(F.max("side").alias("side")).select(*keys, "side", "term")
 
 
 def upsert_counts(counts: DataFrame, terms: DataFrame) -> DataFrame:

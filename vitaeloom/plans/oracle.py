@@ -27,8 +27,8 @@ CHECKS = "dim(check_name, check_idx, severity, penalty) AS (VALUES " + ", ".join
 COSINE = "round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9)"
 
 
-def _dense(most: int, also: str = "") -> str:
-    return f"dense AS (SELECT * FROM (SELECT q.vec_id AS q_id, d.vec_id AS doc_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND {COSINE} > 0) WHERE rank <= {most}{also})"
+def _dense(most: int, held: str = "") -> str:
+    return f"dense AS (SELECT * FROM (SELECT q.vec_id AS q_id, d.vec_id AS doc_id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, d.vec_id) AS rank FROM embeddings q CROSS JOIN embeddings d {held} WHERE q.vec_id % 20 = 0 AND {COSINE} > 0) WHERE rank <= {most})"
 
 
 def _bm25(docs: str) -> str:
@@ -58,7 +58,7 @@ def sql() -> dict[str, str]:
     pieces = r"string_split(regexp_replace(text, '([.!?])\s+([A-Z\x22''(])', '\1' || chr(1) || '\2', 'g'), chr(1))"
     body = f"CASE WHEN regexp_matches(text, {BULLET}) THEN [regexp_replace(text, {BULLET}, '')] ELSE {pieces} END"
     out["sentence_units"] = f"SELECT doc_id, i - 1 AS unit_no, u AS unit FROM (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM (SELECT doc_id, list_filter(list_transform({body}, lambda x: {strip.format('x')}), lambda x: x <> '') AS us FROM documents WHERE text IS NOT NULL))"
-    out["clipped_text"] = "SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE rtrim(substring(text, 1, 159), ' ') || '…' END AS clipped FROM documents"
+    out["clipped_text"] = r"SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE regexp_replace(substring(text, 1, 160), '\s+$', '') || '…' END AS clipped FROM documents"
     words = "regexp_extract_all(lower(text), '[a-z0-9]+')"
     out["document_terms"] = f"SELECT doc_id, len({words}) AS n_terms, len(list_distinct({words})) AS n_distinct FROM documents"
     syll = "greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - CASE WHEN lower(x) LIKE '%e' AND lower(x) NOT LIKE '%le' AND lower(x) NOT LIKE '%ee' AND len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"
@@ -101,8 +101,8 @@ def sql() -> dict[str, str]:
     out["filtered_search"] = f"WITH {whole}, {_sparse(items, 'item_id', 5, only)} SELECT item_id, doc_id, rank FROM sparse"
     out["dense_topk"] = f"WITH {_dense(10)} SELECT q_id, doc_id, rank FROM dense"
     paired = _bm25("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)")
-    out["rrf_topk"] = f"""WITH {paired}, {_sparse('SELECT doc_id AS q_id, text FROM docs WHERE doc_id % 20 = 0', 'q_id', 20)}, {_dense(20)}, dn AS (SELECT * FROM dense WHERE doc_id IN (SELECT doc_id FROM docs)),
-f AS (SELECT coalesce(a.q_id, b.q_id) AS q_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0::DOUBLE / ({retrieval.RRF} + a.rank), 0) + coalesce(1.0::DOUBLE / ({retrieval.RRF} + b.rank), 0) AS score FROM dn a FULL JOIN sparse b ON a.q_id = b.q_id AND a.doc_id = b.doc_id)
+    out["rrf_topk"] = f"""WITH {paired}, {_sparse('SELECT doc_id AS q_id, text FROM docs WHERE doc_id % 20 = 0', 'q_id', 50)}, {_dense(50, held='JOIN docs x ON x.doc_id = d.vec_id')},
+f AS (SELECT coalesce(a.q_id, b.q_id) AS q_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0::DOUBLE / ({retrieval.RRF} + a.rank), 0) + coalesce(1.0::DOUBLE / ({retrieval.RRF} + b.rank), 0) AS score FROM dense a FULL JOIN sparse b ON a.q_id = b.q_id AND a.doc_id = b.doc_id)
 SELECT * FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5"""
     labelled = f"WITH {_dense(10)}, hit AS (SELECT q_id, min(d.rank) AS first FROM dense d JOIN embeddings a ON a.vec_id = d.q_id JOIN embeddings b ON b.vec_id = d.doc_id WHERE q_id <> doc_id AND a.label = b.label GROUP BY 1), cases AS (SELECT vec_id AS q_id FROM embeddings WHERE vec_id % 20 = 0)"
     out["recall_mrr"] = f"{labelled} SELECT round(sum(CASE WHEN first <= 5 THEN 1 ELSE 0 END)::DOUBLE / greatest(1, count(*)), 9) AS recall_at_k, round(sum(coalesce(1.0::DOUBLE / first, 0)) / greatest(1, count(*)), 9) AS mrr, greatest(1, count(*)) AS n FROM cases LEFT JOIN hit USING (q_id)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitaeloom.functions import text as tx
 from vitaeloom.operators import checks, embed, jobs, matching, posting, report, resume, retrieval, scoring, sections, terms
-from vitaeloom.session import table
+from vitaeloom.session import spread, table
 from vitaeloom.sources import dimensions
 from vitaeloom.streaming import limiter
 
@@ -21,7 +21,7 @@ def _forms(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of resumes, each once, with their clusters."""
-    rows = table(spark, folder, "resume_lines").dropDuplicates(["line_id"])
+    rows = spread(table(spark, folder, "resume_lines"), "line_id").dropDuplicates(["line_id"])
     return rows.withColumn("clusters", F.coalesce("matched_clusters", F.array().cast("array<string>"))).drop("matched_clusters")
 
 
@@ -30,7 +30,7 @@ def _jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "resumes").select("resume_id", tx.clean_text(F.col("raw_text")).alias("text"))
+    cleaned = clean_texts(spark, folder)
     return sections.find_sections(tx.explode_lines(cleaned, "text", "resume_id"))
 
 
@@ -47,7 +47,8 @@ def text_lines(spark, folder):
 
 
 def clean_texts(spark, folder):
-    return table(spark, folder, "resumes").select("resume_id", tx.clean_text(F.col("raw_text")).alias("text"))
+    rows = spread(table(spark, folder, "resumes").select("resume_id", "raw_text"), "resume_id")
+    return rows.select("resume_id", tx.clean_text(F.col("raw_text")).alias("text"))
 
 
 def sentence_units(spark, folder):
@@ -398,5 +399,5 @@ def rate_limit_decisions(spark, folder):
 
 
 def all_queries():
-    skip = {"all_queries", "table"}
+    skip = {"all_queries", "table", "spread"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}

@@ -55,6 +55,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows in `spark.sql.shuffle.partitions` partitions by keys: work on a small file uses all cores, and windows over the keys need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _shipped: set[str] = set()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 LEAST_POSTING, LEAST_RESUME = 100, 200
 MOST_BYTES = 5 * 1024 * 1024
+# Contact data in a header or footer, and the characters from which any text there counts.
+CONTACT_DATA, LEAST_MARGIN = re.compile(r"@|\(?\+?\d[\d\s().-]{7,}\d"), 20
 # Domains of the form fields.
 TRACKS = ("mle", "applied_scientist", "data_scientist", "ml_research", "data_engineer")
 PLATFORMS = ("workday", "greenhouse", "lever", "ashby")
@@ -45,41 +48,67 @@ def read_text(files: DataFrame) -> DataFrame:
     return files.where("file_format = 'text'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def _words(node: ElementTree.Element) -> str:
+    signs = {f"{W}tab": "\t", f"{W}br": "\n"}
+    return "".join(t.text or "" if t.tag == f"{W}t" else signs[t.tag] for t in node.iter() if t.tag == f"{W}t" or t.tag in signs)
+
+
+def _margin(archive: zipfile.ZipFile) -> tuple[str, str]:
+    """(zone, text) of the first header or footer with contact data or more than LEAST_MARGIN characters."""
+    parts = [(m[2], m[1], n) for n in archive.namelist() if (m := re.fullmatch(r"word/(header|footer)(\d*)\.xml", n))]
+    for number, zone, name in sorted(parts, key=lambda x: (int(x[0] or 1), x[1] != "header")):
+        try:
+            text = "\n".join(_words(p) for p in ElementTree.fromstring(archive.read(name)).iter(f"{W}p")).strip()
+        except ElementTree.ParseError:
+            continue
+        if text and (CONTACT_DATA.search(text) or len(text) > LEAST_MARGIN):
+            return f"{zone} (section {number or 1})", text
+    return "", ""
+
+
+def _table(table: ElementTree.Element, after: str) -> tuple[list[str], str]:
+    """Lines and a note of a table: a row becomes "head: a, b" if its first cell is a head, else a line for each cell."""
+    lines, rows = [], list(table.iter(f"{W}tr"))
+    width = 0
+    for row in rows:
+        cells = [" ".join(_words(p) for p in c.iter(f"{W}p")).strip() for c in row.iter(f"{W}tc")]
+        width = max(width, len(cells))
+        headed = len(cells) > 1 and cells[0] and not cells[0].endswith(":")
+        lines += [f"{cells[0]}: {', '.join(filter(None, cells[1:]))}"] if headed else list(filter(None, cells))
+    return lines, f"{len(rows)}x{width} table after '{after or 'start'}'"
+
+
 def docx_parts(data: bytes) -> dict:
-    """Text in document order and layout counts of one DOCX file."""
-    out = {"text": "", "n_tables": 0, "n_text_boxes": 0, "n_columns": 1, "n_images": 0, "fonts": [], "margin_text": "", "error": None}
+    """Text in document order and layout of one DOCX file: text boxes first, then a telling header or footer, then the body."""
+    out = {"text": "", "body_text": "", "table_notes": [], "box_texts": [], "n_tables": 0, "n_columns": 1, "n_images": 0, "fonts": [], "margin_zone": "", "margin_text": "", "error": None}
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         return out | {"error": type(e).__name__}
-    words = lambda node: "".join(t.text or "" if t.tag == f"{W}t" else "\t" if t.tag == f"{W}tab" else "\n" for t in node.iter() if t.tag in (f"{W}t", f"{W}tab", f"{W}br"))
-    boxes = [b for b in body.iter(f"{W}txbxContent")]
-    lines = []
+    lines: list[str] = []
+    heading = ""
     for node in body:
         if node.tag == f"{W}p":
-            lines.append("".join(words(r) for r in node if r.tag in (f"{W}r", f"{W}hyperlink") and not list(r.iter(f"{W}txbxContent"))))
+            text = "".join(_words(r) for r in node if r.tag in (f"{W}r", f"{W}hyperlink") and not list(r.iter(f"{W}txbxContent"))).strip()
+            style = next((x.get(f"{W}val", "") for x in node.iter(f"{W}pStyle")), "").lower()
+            if text and len(text) <= 40 and (text.isupper() or style.startswith("heading")):
+                heading = text
+            lines.append(text)
         elif node.tag == f"{W}tbl":
-            out["n_tables"] += 1
-            for row in node.iter(f"{W}tr"):
-                cells = [" ".join(words(p) for p in c.iter(f"{W}p")).strip() for c in row.iter(f"{W}tc")]
-                cells = [c for c in cells if c]
-                lines.append(f"{cells[0]}: {', '.join(cells[1:])}" if len(cells) > 1 else "".join(cells))
-    extra = ["\n".join(words(p) for p in b.iter(f"{W}p")) for b in boxes]
-    margins = []
-    for name in sorted(n for n in archive.namelist() if n.startswith(("word/header", "word/footer")) and n.endswith(".xml")):
-        try:
-            margins.append("\n".join(filter(None, (words(p).strip() for p in ElementTree.fromstring(archive.read(name)).iter(f"{W}p")))))
-        except ElementTree.ParseError:
-            continue
-    margin = next((m for m in margins if m), "")
+            rows, note = _table(node, heading)
+            lines += rows
+            out["table_notes"].append(note)
+    boxes = [t for b in body.iter(f"{W}txbxContent") for p in b.iter(f"{W}p") if (t := "".join(x.text or "" for x in p.iter(f"{W}t"))).strip()]
+    zone, margin = _margin(archive)
     columns = [int(c.get(f"{W}num", "1")) for c in body.iter(f"{W}cols")]
     fonts = sorted({f.get(f"{W}ascii") for f in body.iter(f"{W}rFonts")} - {None})
     images = sum(1 for n in archive.namelist() if n.startswith("word/media/"))
-    return out | {"text": "\n".join(filter(None, [margin, *extra])) + ("\n" if margin or extra else "") + "\n".join(lines), "n_text_boxes": len(boxes), "n_columns": max(columns, default=1), "n_images": images, "fonts": fonts, "margin_text": margin}
+    whole = "\n".join([*boxes, *filter(None, [margin]), *lines])
+    return out | {"text": whole, "body_text": "\n".join(lines), "n_tables": len(out["table_notes"]), "box_texts": boxes, "n_columns": max(columns, default=1), "n_images": images, "fonts": fonts, "margin_zone": zone, "margin_text": margin}
 
 
-DOCX = "text string, n_tables int, n_text_boxes int, n_columns int, n_images int, fonts array<string>, margin_text string, error string"
+DOCX = "text string, body_text string, table_notes array<string>, box_texts array<string>, n_tables int, n_columns int, n_images int, fonts array<string>, margin_zone string, margin_text string, error string"
 
 
 def read_docx(files: DataFrame) -> DataFrame:
