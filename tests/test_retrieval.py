@@ -105,8 +105,10 @@ def test_requests(spark):
     clusters = spark.createDataFrame([("sql", "SQL"), ("go", "Go")], "cluster_id string, canonical_name string")
     items = report.explanation_items(skills, failed, clusters)
     assert [(r["item_id"], r["query"]) for r in items.orderBy("item_no").collect()] == [("sql", "SQL asked sql"), ("go", "Go asked go"), ("check:table_detected", "table detected page 1")]
-    chunks = spark.createDataFrame([("equiv:sql", "equivalence", ["sql"]), ("b1", "strong_bullet", ["sql"]), ("b2", "strong_bullet", ["go"]), ("q1", "platform_quirk", [])], "chunk_id string, kind string, cluster_ids array<string>")
-    ranks = spark.createDataFrame([("SQL asked sql", "b1", 2), ("SQL asked sql", "b2", 1), ("Go asked go", "b2", 1), ("table detected page 1", "q1", 1)], "query string, chunk_id string, rank int")
+    rows = [("equiv:sql", "equivalence", ["sql"], None, "asked sql"), ("b1", "strong_bullet", ["sql"], None, "wrote sql"), ("b2", "strong_bullet", ["go"], None, "asked go sql"), ("q1", "platform_quirk", [], "lever", "table page"), ("q2", "platform_quirk", [], "ashby", "table detected page 1"), ("z", "strong_bullet", ["x"], None, "none")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, kind string, cluster_ids array<string>, platform string, text string")
+    weights = v.bm25_weights(v.term_counts(chunks, "chunk_id", "text"), chunks, "chunk_id")
+    ranks = v.filtered_ranks(report.with_filters(items, F.lit("lever")), chunks, weights, 2, "resume_id", "posting_id", "item_no")
     got = [(r["item_id"], r["chunk_id"]) for r in report.item_context(items, chunks, ranks).orderBy("pos").collect()]
     assert got == [("sql", "equiv:sql"), ("sql", "b1"), ("go", "b2"), ("check:table_detected", "q1")]
 
@@ -142,3 +144,10 @@ def test_fused_query_ranks_fifty_documents_a_side(spark, tmp_path):
         assert got[q] == top[0]
         narrow += top[0] != top[1]
     assert narrow > 0
+
+
+def test_rewrite_context(spark):
+    ranks = spark.createDataFrame([("r", 0, "b", 1), ("r", 0, "a", 2), ("r", 1, "a", 1), ("r", 1, "c", 2), ("s", 5, "z", 1)], "req string, item int, chunk_id string, rank int")
+    got = {(r["req"], r["item"]): r["ids"] for r in report.rewrite_context(ranks, "req", "item", "g").collect()}
+    assert got == {("r", 0): [2, 3, 1], ("r", 1): [3, 4, 1], ("s", 5): [2, 1]}
+    assert report.rewrite_context(ranks, "req", "item").where("item = 1").first()["ids"] == [2, 3]

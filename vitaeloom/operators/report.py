@@ -40,21 +40,38 @@ def explanation_items(skills: DataFrame, report: DataFrame, clusters: DataFrame)
     return a.unionByName(b).select("resume_id", "posting_id", number.alias("item_no"), "item_id", "kind", "query")
 
 
+def with_filters(items: DataFrame, platform: Column | None = None) -> DataFrame:
+    """Items of explanations with what they may be explained by: strong bullets of their cluster, or quirks of the platform for a check."""
+    check = F.col("kind") == "check"
+    kinds = F.when(check, F.array(F.lit("platform_quirk"))).otherwise(F.array(F.lit("strong_bullet")))
+    clusters = F.when(check, F.array().cast("array<string>")).otherwise(F.array("item_id"))
+    return items.withColumn("kinds", kinds).withColumn("cluster_ids", clusters).withColumn("platform", F.when(check, platform if platform is not None else F.lit(None).cast("string")))
+
+
 def item_context(items: DataFrame, chunks: DataFrame, ranks: DataFrame, most: int = 2) -> DataFrame:
     """(resume_id, posting_id, item_no, item_id, pos, chunk_id): the equivalence chunk of a skill, then its best strong bullets; for a check its best quirks.
 
-    ranks are the hits (query, chunk_id, rank) of all distinct queries over the allowed kinds; a check
+    ranks are the hits (resume_id, posting_id, item_no, chunk_id, rank) of `retrieval.filtered_ranks` for `with_filters(items)`; a check
     without any chunk is dropped.
     """
+    pair = ["resume_id", "posting_id"]
     equal = items.where("kind <> 'check'").join(chunks.select("chunk_id"), F.col("chunk_id") == F.concat(F.lit("equiv:"), "item_id"))
-    equal = equal.select("resume_id", "posting_id", "item_no", "item_id", F.lit(0).alias("_r"), "chunk_id")
-    held = chunks.select("chunk_id", F.col("kind").alias("_kind"), "cluster_ids")
-    fits = F.when(F.col("kind") == "check", F.col("_kind") == "platform_quirk").otherwise((F.col("_kind") == "strong_bullet") & F.array_contains("cluster_ids", F.col("item_id")))
-    found = items.join(ranks.select("query", "chunk_id", "rank"), "query").join(held, "chunk_id").where(fits)
-    order = F.row_number().over(Window.partitionBy("resume_id", "posting_id", "item_no").orderBy("rank", "chunk_id"))
-    found = found.withColumn("_r", order).where(F.col("_r") <= most).select("resume_id", "posting_id", "item_no", "item_id", "_r", "chunk_id")
-    pos = F.row_number().over(Window.partitionBy("resume_id", "posting_id").orderBy("item_no", "_r")) - 1
-    return equal.unionByName(found).select("resume_id", "posting_id", "item_no", "item_id", pos.alias("pos"), "chunk_id")
+    equal = equal.select(*pair, "item_no", "item_id", F.lit(0).alias("_r"), "chunk_id")
+    found = items.join(ranks.where(F.col("rank") <= most).select(*pair, "item_no", "chunk_id", "rank"), [*pair, "item_no"])
+    pos = F.row_number().over(Window.partitionBy(*pair).orderBy("item_no", "_r")) - 1
+    return equal.unionByName(found.select(*pair, "item_no", "item_id", F.col("rank").alias("_r"), "chunk_id")).select(*pair, "item_no", "item_id", pos.alias("pos"), "chunk_id")
+
+
+def rewrite_context(ranks: DataFrame, request: str, item: str, guidance: str | None = None) -> DataFrame:
+    """(request, item, chunk_id, rank), the best examples of each line to rewrite → (request, item, ids): their numbers in the context.
+
+    The guidance chunk, if any, is number 1 of every request and ends every list; examples are numbered by first use.
+    """
+    first = F.lit(0 if guidance is None else 1)
+    uses = ranks.select(request, "chunk_id", F.struct(F.col(item), F.col("rank")).alias("pos"))
+    numbered = number_context(uses, request).withColumn("context_id", F.col("context_id") + first)
+    listed = ranks.join(numbered, [request, "chunk_id"]).groupBy(request, item).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "context_id"))), lambda x: x["context_id"]).alias("ids"))
+    return listed.withColumn("ids", F.concat("ids", F.array() if guidance is None else F.array(F.lit(1))))
 
 
 def weak_lines(matches: DataFrame, *keys: str, line: str = "line", score: str = "score", order: str = "req_idx", below: int = WEAK_SCORE, least_words: int = LEAST_WORDS, most: int = MOST_REWRITES) -> DataFrame:

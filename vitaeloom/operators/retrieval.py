@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaeloom.functions.text import terms
+from vitaeloom.session import durable
 
 # BM25 and fusion constants.
 K1, B, FLOOR_SHARE = 1.5, 0.75, 0.25
 RRF, CANDIDATES = 60, 50
-BLOCK = 1024
+BLOCK, GRID = 1024, 16
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,6 +36,8 @@ def bm25_weights(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
     Terms in more than half of the documents would count negatively; they get a share of the mean instead.
     """
+    # Counted once: statistics and weights read the written counts, not the texts.
+    counts = durable(counts)
     n = docs.select(key).distinct().agg(F.count("*").alias("n")).scalar()
     total = counts.select(key, "dl").distinct().agg(F.sum("dl").alias("s")).scalar()
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
@@ -69,6 +72,23 @@ def sparse_ranks(queries: DataFrame, weights: DataFrame, query: str, key: str, t
     return _ranked(scored, query, key, "score", most)
 
 
+def filtered_ranks(items: DataFrame, chunks: DataFrame, weights: DataFrame, most: int, *keys: str) -> DataFrame:
+    """(keys, query, kinds, cluster_ids, platform) and chunks → (keys, chunk_id, score, rank), each item among its own candidates.
+
+    A chunk is a candidate if its kind is listed, a cluster is shared and the platform is equal; an empty
+    list and a null platform ask for nothing. Candidates are chosen before ranking, statistics cover all chunks.
+    """
+    asked = items.select(*keys, F.explode(terms(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
+    scored = asked.join(weights, "term").groupBy(*keys, "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score")).where("score > 0")
+    held = chunks.select("chunk_id", F.col("kind").alias("_kind"), F.col("cluster_ids").alias("_clusters"), F.col("platform").alias("_platform"))
+    met = scored.join(held, "chunk_id").join(items.select(*keys, "kinds", "cluster_ids", "platform"), list(keys))
+    fits = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("_kind"))
+    fits &= (F.size("cluster_ids") == 0) | F.arrays_overlap("cluster_ids", "_clusters")
+    fits &= F.col("platform").isNull() | (F.col("platform") == F.col("_platform"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id"))
+    return met.where(fits).select(*keys, "chunk_id", "score", rank.alias("rank")).where(F.col("rank") <= most)
+
+
 def dense_ranks(queries: DataFrame, docs: DataFrame, query: str, key: str, vector: str = "vector", most: int = CANDIDATES, digits: int = 9) -> DataFrame:
     """(query, key, score, rank) by cosine of unit vectors; a query is not excluded from its own result.
 
@@ -93,8 +113,11 @@ def dense_ranks(queries: DataFrame, docs: DataFrame, query: str, key: str, vecto
                 yield pd.DataFrame({query: np.repeat(np.asarray(q_ids), good.sum(1)), key: ids[best][good], "score": values[good]})
 
     kind = lambda df, name: df.schema[name].dataType.simpleString()
-    # Blocks of a stated query set against blocks of all rows; neither side is broadcast whole by hand.
-    met = held.join(asked, F.col("dim") == F.col("q_dim"))
+    # Blocks of a stated query set against blocks of all rows: a held block goes to one of GRID lanes, a query block
+    # to all of them, so that lane and dimension spread the products over as many tasks, whatever the sizes.
+    held = held.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(GRID)))
+    asked = asked.withColumn("q_lane", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+    met = held.join(asked, (F.col("dim") == F.col("q_dim")) & (F.col("lane") == F.col("q_lane")))
     scored = met.mapInPandas(product, f"{query} {kind(queries, query)}, {key} {kind(docs, key)}, score double")
     return _ranked(scored, query, key, "score", most)
 

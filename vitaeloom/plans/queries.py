@@ -398,6 +398,101 @@ def rate_limit_decisions(spark, folder):
     return limiter.decide(requests, limit=3, window=86_400.0)
 
 
+# Operators whose inputs have no table of their own; every stand-in is named.
+
+
+def weighted_overlap(spark, folder):
+    """Coverage under track weights: those of a category (0.3 and a tenth for each of up to 7 letters of its name), overlaid by 0.95 for clusters whose name is of even length."""
+    clusters = table(spark, folder, "clusters")
+    tracks = spark.createDataFrame([("mle",), ("data_scientist",)], "track string")
+    by_category = clusters.select("category").distinct().crossJoin(tracks).withColumn("weight", F.lit(0.3) + F.lit(0.1) * (F.length("category") % 8))
+    own = clusters.where("length(cluster_id) % 2 = 0").select("cluster_id", F.lit("mle").alias("track"), F.lit(0.95).alias("weight"))
+    weights = dimensions.track_weights(clusters, by_category, own)
+    unpacked, forms = _jobs(spark, folder), _forms(spark, folder)
+    asked = jobs.job_requirements(unpacked).withColumn("clusters", matching.tag_clusters(F.col("raw_text"), forms)).withColumnRenamed("id", "posting_id")
+    lines = scoring.evidence_lines(jobs.job_lines(unpacked).withColumnRenamed("id", "resume_id"))
+    track = scoring.resolve_track(F.lit(None).cast("string"), F.col("inputs.jd.role_track_signal"))
+    pairs = unpacked.select(F.col("id").alias("resume_id"), F.col("id").alias("posting_id"), track.alias("track"))
+    scores = scoring.overlap_scores(pairs, scoring.pair_skills(pairs, scoring.resume_clusters(lines), scoring.posting_clusters(asked), weights))
+    return scores.select("resume_id", "taxonomy", *[F.array_join(c, ",").alias(c) for c in ("matched", "missing_required", "missing_preferred")])
+
+
+def platform_parseability(spark, folder):
+    report_ = checks.full_report(_jobs(spark, folder).select(F.col("id").alias("resume_id")), _job_checks(spark, folder))
+    dimension = checks.severity_dimension(spark)
+    parts = [checks.parseability_scores(report_, checks.resolved_severity(dimension, p)).select("resume_id", F.lit(p).alias("platform"), "parseability") for p in checks.PLATFORMS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def check_table(spark, folder):
+    report_ = checks.full_report(_jobs(spark, folder).select(F.col("id").alias("resume_id")), _job_checks(spark, folder))
+    return checks.check_view(report_, checks.severity_dimension(spark)).drop("location")
+
+
+def item_labels(spark, folder):
+    return report.display_names(table(spark, folder, "clusters"), checks.severity_dimension(spark))
+
+
+def _answers(spark, folder):
+    """Answers stand for rewrites: the first 60 characters for the original, those from the tenth for the rewrite, negative votes for the flag."""
+    docs = table(spark, folder, "documents").where("post_kind = 'answer' and text is not null and votes is not null")
+    return docs.select("thread_id", F.col("doc_id").alias("rewrite_no"), F.substring("text", 1, 60).alias("original_bullet"), F.substring("text", 10, 60).alias("suggested_rewrite"), (F.col("votes") < 0).alias("readability_flag"))
+
+
+def rewrite_diffs(spark, folder):
+    return report.rewrite_diff(_answers(spark, folder), "thread_id")
+
+
+def guarded_rewrites(spark, folder):
+    return report.guard_rewrites(_answers(spark, folder)).select("thread_id", "rewrite_no")
+
+
+def readability_flags(spark, folder):
+    """Occurrences of the letter t stand for mentions of skills."""
+    mentions = lambda c: F.regexp_count(c, F.lit("t"))
+    before, after = F.col("original_bullet"), F.col("suggested_rewrite")
+    density = lambda c: report.keyword_density(mentions(c), c)
+    return _answers(spark, folder).select("rewrite_no", report.readability_flag(before, after, density(before), density(after)).alias("flag"))
+
+
+def client_keys(spark, folder):
+    """A forwarding header made of the user and the event's number; the kind of event stands for the peer."""
+    header = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("user_id").cast("string"), F.lit(" , proxy"))).when(F.col("event_id") % 3 == 1, F.lit(" , proxy"))
+    return table(spark, folder, "events").select("event_id", limiter.client_key(header, F.col("event_type")).alias("key"))
+
+
+def rewrite_requests(spark, folder):
+    """Examples for every optional requirement of a job: project bullets as strong bullets, ranked among those of a cluster in common."""
+    chunks = _lines(spark, folder).where("source = 'project'").select(F.col("line_id").alias("chunk_id"), F.lit("strong_bullet").alias("kind"), "raw_text", F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
+    weights = retrieval.bm25_weights(retrieval.term_counts(chunks, "chunk_id", "raw_text"), chunks, "chunk_id")
+    asked = jobs.job_requirements(_jobs(spark, folder)).where("requirement_type = 'preferred'")
+    items = asked.select("id", "req_idx", F.col("raw_text").alias("query"), F.array(F.lit("strong_bullet"), F.lit("rewrite_pair")).alias("kinds"), matching.tag_clusters(F.col("raw_text"), _forms(spark, folder)).alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
+    ranks = retrieval.filtered_ranks(items, chunks, weights, 3, "id", "req_idx")
+    found = report.rewrite_context(ranks, "id", "req_idx", "guidance:density")
+    return found.select("id", "req_idx", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+def layout_fonts(spark, folder):
+    """Events stand for the characters of documents, their kinds for fonts: errors for symbols, clicks for unmapped ones."""
+    font = F.when(F.col("event_type") == "error", "Wingdings").when(F.col("event_type") == "click", "(cid)").otherwise("Arial")
+    fonts = table(spark, folder, "events").select(F.col("user_id").alias("doc_id"), font.alias("font")).groupBy("doc_id", "font").agg(F.count("*").alias("n"))
+    return checks.check_fonts(fonts).select("doc_id", "status", "location")
+
+
+def layout_pages(spark, folder):
+    """Posts of a thread stand for its pages, negative votes for tables, accepted answers for images."""
+    posts = table(spark, folder, "documents").select(F.coalesce("thread_id", "doc_id").alias("doc_id"), F.coalesce("answer_rank", F.lit(0)).alias("page"), F.coalesce(F.col("is_accepted").cast("int"), F.lit(0)).alias("n_images"), F.coalesce((F.col("votes") < 0).cast("int"), F.lit(0)).alias("n_tables"), F.length("text").alias("n_chars"))
+    return checks.check_pages(posts).select("doc_id", "check_name", "status", "location")
+
+
+def layout_margins(spark, folder):
+    """Lines of work entries stand for lines of pages: the entry is the page, the first line of each is in the margin, and text is cut to what names no detail."""
+    rows = _lines(spark, folder).where("source = 'work' and entry_idx is not null")
+    contact = F.when(F.length("raw_text") % 3 == 0, F.lit("call 555 010 9999")).otherwise(F.substring("raw_text", 1, 12))
+    lines = rows.select(F.col("resume_id").alias("doc_id"), F.col("entry_idx").alias("page"), contact.alias("text"), (F.col("line_no") * 100.0).alias("top"), (F.col("line_no") * 100.0 + 12).alias("bottom"), F.lit(800.0).alias("page_height"))
+    return checks.check_margins(lines).select("doc_id", "status", "location")
+
+
 def all_queries():
     skip = {"all_queries", "table", "spread"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}

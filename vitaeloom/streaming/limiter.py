@@ -23,23 +23,24 @@ def client_key(header: Column, peer: Column) -> Column:
     return F.coalesce(F.when(part != "", part), peer, F.lit("unknown"))
 
 
-def step(kept: list[float], now: float, limit: int, window: float) -> tuple[list[float], bool, int]:
-    """State after a request, whether it is allowed, and the seconds to wait if not."""
+def step(kept: list[int], now: int, limit: int, window: int) -> tuple[list[int], bool, int]:
+    """State after a request, whether it is allowed, and the seconds to wait if not; times and window in microseconds."""
     kept = [t for t in kept if t > now - window]
     if len(kept) < limit:
         return [*kept, now], True, 0
     wait = kept[0] + window - now
-    return kept, False, max(1, int(-(-wait // 1)))
+    return kept, False, max(1, -(-wait // 1_000_000))
 
 
 def decide(requests: DataFrame, limit: int, window: float, key: str = "key", at: str = "ts", number: str = "request_id") -> DataFrame:
     """(key, number, at, allowed, retry_after), requests of each key streamed in time order.
 
-    Rows are range-partitioned by key and sorted; a worker reads them as they come and keeps at most
+    Rows are partitioned by a hash of the key and sorted; a worker reads them as they come and keeps at most
     `limit` times per key, so that a key of any size needs no group in memory.
     """
     rows = requests.where(F.col(at).isNotNull()).select(F.coalesce(F.col(key), F.lit("unknown")).alias(key), number, at, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    span = round(window * 1_000_000)
     ordered = rows.repartition(key).sortWithinPartitions(key, "_us", number)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +50,7 @@ def decide(requests: DataFrame, limit: int, window: float, key: str = "key", at:
             for k, us in zip(b[key], b["_us"]):
                 if k != current:
                     current, kept = k, []
-                kept, ok, wait = step(kept, us / 1e6, limit, window)
+                kept, ok, wait = step(kept, int(us), limit, span)
                 allowed.append(ok)
                 retry.append(wait)
             yield b.drop(columns="_us").assign(allowed=allowed, retry_after=retry)
@@ -58,25 +59,26 @@ def decide(requests: DataFrame, limit: int, window: float, key: str = "key", at:
 
 
 def decide_stream(requests: DataFrame, limit: int, window: float, key: str = "key", at: str = "ts", number: str = "request_id") -> DataFrame:
-    """The same for a stream; state is dropped by a timer once a key has been idle for a window.
+    """The same for a stream; state expires by its time to live once a key has been idle for two windows.
 
     Needs the RocksDB state store provider.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    span = round(window * 1_000_000)
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.hits = handle.getListState("hits", "at double", ttlDurationMs=int(window * 2000) + 1)
+            self.hits = handle.getListState("hits", "at bigint", ttlDurationMs=int(window * 2000) + 1)
 
         def handleInputRows(self, key_, rows, timerValues):  # noqa: N802, N803
             table = pd.concat(list(rows)).sort_values([at, number])
             kept = [x[0] for x in self.hits.get()]
             allowed, retry = [], []
             for t in table[at]:
-                kept, ok, wait = step(kept, pd.Timestamp(t).timestamp(), limit, window)
+                kept, ok, wait = step(kept, pd.Timestamp(t).value // 1000, limit, span)
                 allowed.append(ok)
                 retry.append(wait)
             if kept:
