@@ -105,7 +105,7 @@ def test_requests(spark):
     clusters = spark.createDataFrame([("sql", "SQL"), ("go", "Go")], "cluster_id string, canonical_name string")
     items = report.explanation_items(skills, failed, clusters)
     assert [(r["item_id"], r["query"]) for r in items.orderBy("item_no").collect()] == [("sql", "SQL asked sql"), ("go", "Go asked go"), ("check:table_detected", "table detected page 1")]
-    rows = [("equiv:sql", "equivalence", ["sql"], None, "asked sql"), ("b1", "strong_bullet", ["sql"], None, "wrote sql"), ("b2", "strong_bullet", ["go"], None, "asked go sql"), ("q1", "platform_quirk", [], "lever", "table page"), ("q2", "platform_quirk", [], "ashby", "table detected page 1"), ("z", "strong_bullet", ["x"], None, "none")]
+    rows = [("equiv:sql", "equivalence", ["sql"], None, "asked sql"), ("b1", "strong_bullet", ["sql"], None, "wrote sql"), ("b2", "strong_bullet", ["go"], None, "asked go sql"), ("q1", "platform_quirk", [], "lever", "table page"), ("q2", "platform_quirk", [], "ashby", "table detected page 1"), *((f"z{i}", "strong_bullet", ["x"], None, "none") for i in range(6))]
     chunks = spark.createDataFrame(rows, "chunk_id string, kind string, cluster_ids array<string>, platform string, text string")
     weights = v.bm25_weights(v.term_counts(chunks, "chunk_id", "text"), chunks, "chunk_id")
     ranks = v.filtered_ranks(report.with_filters(items, F.lit("lever")), chunks, weights, 2, "resume_id", "posting_id", "item_no")

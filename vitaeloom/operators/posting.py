@@ -8,9 +8,6 @@ unclear signals and null years.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +69,10 @@ LEVELS = (
     ("senior", r"senior|sr\.?|\bIII"),
     ("mid", r"mid[\s-]+level|intermediate|\bII"),
 )
-YEARS = re.compile(r"\b(\d{1,2})\s*(?:\+|-|–|to)?\s*(\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b", re.I)
-YEARS_NEAR = re.compile(r"\b(experience|background|track record|working|in|of)\b", re.I)
+# A phrase about years, the words that must stand near it, and how near.
+YEARS = r"\b\d{1,2}\s*(?:\+|-|–|to)?\s*(?:\d{1,2})?\s*\+?\s*(?:years?|yrs?)\b"
+YEARS_NEAR = ("experience", "background", "track record", "working", "in", "of")
+NEAR = 40
 
 
 def words(pattern: str) -> str:
@@ -124,19 +123,13 @@ def track_vote(title: Column, body: Column) -> Column:
     return F.when((best["score"] == 0) | (best["score"] == second["score"]), F.lit("unclear")).otherwise(best["track"])
 
 
-def _years(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> int | None:
-        if text is None:
-            return None
-        found = [int(m[1]) for m in YEARS.finditer(text) if YEARS_NEAR.search(text[m.end() : m.end() + 40]) or YEARS_NEAR.search(text[max(0, m.start() - 40) : m.start()])]
-        return max(found, default=None)
-
-    return pd.Series([one(t) for t in texts], dtype="Int64")
-
-
 def years_asked(text: Column) -> Column:
-    """The largest lower bound of the phrases about years that have a context word within 40 characters."""
-    return F.pandas_udf(_years, "int")(text)
+    """The largest lower bound of the phrases about years that have a context word within NEAR characters; a word cut by that reach counts if what is left of it is one."""
+    reach = [(w, NEAR - len(w)) for w in YEARS_NEAR]
+    before = "|".join(rf"\b{w}\b[\s\S]{{0,{n}}}|{w}\b[\s\S]{{{n}}}" for w, n in reach)
+    after = "|".join(rf"[\s\S]{{0,{n}}}\b{w}\b|[\s\S]{{{n}}}\b{w}" for w, n in reach)
+    phrases = F.regexp_extract_all(text, F.lit(rf"(?iU)(?<={before}){YEARS}|{YEARS}(?={after})"), F.lit(0))
+    return F.array_max(F.transform(phrases, lambda x: F.regexp_extract(x, r"\d{1,2}", 0).cast("int")))
 
 
 def seniority(title: Column, years: Column) -> Column:

@@ -42,6 +42,15 @@ HEADINGS = (
     ("responsibilities", r"responsibilities|what you('ll| will)? do|the role|in this role|your (role|mission|impact)|day[\s-]+to[\s-]+day|you will|duties|what you'll be doing|key (tasks|outcomes)"),
     ("boilerplate", r"about (us|the (company|team)|[A-Z]\w+)|benefits|perks|compensation|salary|pay range|why (join|work)|our (mission|values|culture|story)|who we are|the company|equal opportunity|eeo|diversity|how to apply|application process|location|interview process"),
 )
+BOILERPLATE = (
+    r"equal[\s-]+opportunity|eeo|discriminat\w*|affirmative action|401\s*\(?k\)?|health(care)?|dental|vision (insurance|coverage)|insurance|pto|paid time off|vacation|parental leave|stock options|equity|salary|compensation|bonus structure|wellness|gym|commuter|authori[sz]ed to work|visa|sponsorship|background check|we are (a|an|the) |our (mission|office|team|company|customers|culture)|headquartered|founded in|fastest[\s-]+growing|remote[\s-]+first|hybrid|work[\s-]+from[\s-]+home|apply|reasonable accommodation|race|religion|gender|sexual orientation|veteran"
+)
+REQUIREMENT = (
+    r"experience|proficien(cy|t)|familiar(ity)?|knowledge|understanding|expertise|background|ability|track record|hands[\s-]+on|fluent|fluency|comfortable|exposure|competen(ce|cy|t)|skilled|mastery|degree|ph\.?d|m\.?s\.?c?|b\.?s\.?c?|years?|must|should|strong|solid|deep|working knowledge|contributions?|publications?|demonstrated"
+)
+OPTIONAL = (
+    r"preferred|bonus|(a|big|huge|strong|definite) plus|nice[\s-]+to[\s-]+have|not required|optional|would be (great|nice|a plus|beneficial|welcome)|ideally|is a plus|are a plus|desirable|good to have|great to have"
+)
 NO_TERM = ('', 'a', 'an', 'the', 'other', 'others', 'similar', 'related', 'tools', 'technologies', 'frameworks', 'equivalent', 'such as', 'e.g', 'eg', 'ie', 'i.e')
 
 
@@ -153,10 +162,26 @@ SELECT * FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER B
     cleaned = rf"lower(trim(regexp_replace(trim(raw_text), '^{edge}|{edge}$', '', 'g')))"
     none = ", ".join(_q(x) for x in NO_TERM)
     out["resume_candidate_terms"] = rf"WITH {LINES}, c AS (SELECT resume_id, {cleaned} AS term FROM lines WHERE source = 'skill' AND len(coalesce(matched_clusters, [])) = 0) SELECT DISTINCT resume_id, term FROM c WHERE term NOT IN ({none}) AND NOT regexp_matches(term, '[@\d]') AND length(term) BETWEEN 2 AND 40 AND len(list_filter(regexp_split_to_array(term, '\s+'), lambda x: x <> '')) <= 5"
+    cleaned = r"trim(regexp_replace(regexp_replace(json_extract_string(input_json, '$.jd.raw_text'), '\r\n?', chr(10), 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ' || chr(10))"
+    posted = f"{JOBS}, raw AS (SELECT id AS posting_id, string_split({cleaned}, chr(10)) AS ls FROM job), pl AS (SELECT posting_id, i - 1 AS line_no, trim(ls[i]) AS line FROM raw, range(1, 1 + len(ls)) t(i) WHERE trim(ls[i]) <> ''), pt AS (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY line_no) AS n, trim(regexp_replace(line, ':+$', '')) AS bare FROM pl)"
+    modes = "CASE " + " ".join(f"WHEN regexp_matches(bare, {_title(p)}) THEN '{m}'" for m, p in HEADINGS) + " END"
+    short = rf"length(bare) BETWEEN 1 AND 60 AND len(list_filter(regexp_split_to_array(bare, '\s+'), lambda x: x <> '')) <= 8 AND NOT regexp_matches(line, {BULLET}) AND NOT regexp_matches(bare, '[.,;]$')"
+    out["posting_modes"] = f"WITH {posted}, h AS (SELECT *, CASE WHEN n > 1 AND {short} THEN {modes} END AS heading FROM pt), m AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY posting_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'none') AS mode FROM h) SELECT posting_id, line_no, mode FROM m WHERE n > 1"
+    split = body.replace("text", "line")
+    hit = "EXISTS (SELECT 1 FROM tags WHERE tags.u = unit)"
+    fits = f"CASE WHEN mode IN ('required', 'preferred') THEN true WHEN mode = 'responsibilities' THEN {hit} WHEN mode = 'none' THEN {hit} OR regexp_matches(unit, {_title(REQUIREMENT)}) ELSE false END"
+    out["posting_requirements"] = rf"""WITH {posted}, h AS (SELECT *, CASE WHEN n > 1 AND {short} THEN {modes} END AS heading FROM pt), m AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY posting_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'none') AS mode FROM h),
+us AS (SELECT posting_id, line_no, mode, list_filter(list_transform({split}, lambda x: {strip.format('x')}), lambda x: x <> '') AS us FROM m WHERE n > 1 AND heading IS NULL), un AS (SELECT posting_id, line_no, mode, i AS unit_no, us[i] AS unit FROM us, range(1, 1 + len(us)) t(i)),
+tags AS (SELECT unit AS u, string_agg(DISTINCT cluster_id, ',' ORDER BY cluster_id) AS clusters FROM (SELECT DISTINCT unit FROM un), surface_forms WHERE regexp_matches(unit, {FORM}) GROUP BY 1),
+ok AS (SELECT * FROM un WHERE len(list_filter(regexp_split_to_array(unit, '\s+'), lambda x: x <> '')) >= 3 AND NOT regexp_matches(unit, {_title(BOILERPLATE)}) AND {fits}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY posting_id, lower(unit) ORDER BY line_no, unit_no) AS k FROM ok) WHERE k = 1)
+SELECT posting_id, CAST(row_number() OVER (PARTITION BY posting_id ORDER BY line_no, unit_no) - 1 AS INTEGER) AS req_idx, unit AS raw_text, CASE WHEN mode = 'preferred' OR regexp_matches(unit, {_title(OPTIONAL)}) THEN 'preferred' ELSE 'required' END AS requirement_type, coalesce(clusters, '') AS clusters FROM f LEFT JOIN tags ON tags.u = f.unit"""
+    votes_ = " UNION ALL ".join(f"SELECT posting_id, '{t}' AS track, 5 * len(regexp_extract_all(title, {_title(a)})) + len(regexp_extract_all(body, {_title(a)})) + len(regexp_extract_all(body, {_title(b)})) AS score FROM tb" for t, (a, b) in TRACKS.items())
+    out["posting_tracks"] = f"WITH {posted}, tb AS (SELECT posting_id, max(line) FILTER (n = 1) AS title, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (n > 1), '') AS body FROM pt GROUP BY 1), v AS ({votes_}), b AS (SELECT posting_id, max(score) AS best FROM v GROUP BY 1) SELECT v.posting_id, CASE WHEN any_value(best) = 0 OR count(*) > 1 THEN 'unclear' ELSE max(track) END AS track FROM v JOIN b ON b.posting_id = v.posting_id AND score = best GROUP BY 1"
     # The first place of a form in a text, from the text before it; borders are one character on either side.
     border = r"'(?i)^(.*?)(?:^|[^A-Za-z0-9])(?:' || regexp_replace(form, '[\\s\\-_]+', '[\\\\s\\\\-_]*', 'g') || ')(?:[^A-Za-z0-9]|$)'"
     place = f"length(regexp_extract(' ' || replace(raw_text, chr(10), ' '), {border}, 1))"
-    out["line_cluster_order"] = f"WITH {LINES}, hit AS (SELECT line_id, cluster_id, min({place}) AS at FROM lines, surface_forms WHERE regexp_matches(raw_text, {FORM}) GROUP BY 1, 2), o AS (SELECT line_id, string_agg(cluster_id, ',' ORDER BY at, cluster_id) AS clusters FROM hit GROUP BY 1) SELECT line_id, coalesce(clusters, '') AS clusters FROM lines LEFT JOIN o USING (line_id)"
+    out["line_cluster_order"] = f"WITH {LINES}, hit AS (SELECT line_id, cluster_id, min({place}) AS began FROM lines, surface_forms WHERE regexp_matches(raw_text, {FORM}) GROUP BY 1, 2), o AS (SELECT line_id, string_agg(cluster_id, ',' ORDER BY began, cluster_id) AS clusters FROM hit GROUP BY 1) SELECT line_id, coalesce(clusters, '') AS clusters FROM lines LEFT JOIN o USING (line_id)"
     out["rate_limit_decisions"] = """WITH RECURSIVE n AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
 fold AS (SELECT key, request_id, ts, i, [us] AS kept, true AS allowed, 0 AS retry_after FROM n WHERE i = 1
 UNION ALL SELECT n.key, n.request_id, n.ts, n.i, CASE WHEN len(live) < 3 THEN list_append(live, n.us) ELSE live END, len(live) < 3, CASE WHEN len(live) < 3 THEN 0 ELSE greatest(1, CAST(ceil((live[1] + 86400000000 - n.us) / 1000000.0) AS INTEGER)) END

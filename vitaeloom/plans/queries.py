@@ -167,6 +167,10 @@ def posting_signals(spark, folder):
     return posting.signals(_postings(spark, folder))
 
 
+def posting_tracks(spark, folder):
+    return posting_signals(spark, folder).where("title is not null").select("posting_id", F.col("role_track_signal").alias("track"))
+
+
 def track_votes(spark, folder):
     docs = table(spark, folder, "work_entries").where("job_title is not null").select(F.col("job_title").alias("title")).distinct()
     return docs.select("title", posting.track_vote(F.col("title"), F.lit("")).alias("track"))
