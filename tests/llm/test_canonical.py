@@ -36,3 +36,14 @@ def test_empty(spark):
 def test_meaning():
     assert meant("log parsing", "log parsing") == 0 and meant("basic routing", "text routing") is None and meant("mobile hosting", "model hosting") is None
     assert meant("x" * 5000, "log parsing") is None
+
+
+def test_index_and_join_agree(spark):
+    from vitaeloom.llm.canonical import bare, grams, near_entries, spaced
+
+    forms = ["record linkage", "cost tracking", "sql", "pactline", "column pruning", "ab"]
+    values = ["recrod linkage", "rcrd lnkg", "basic sql", "patcline", "", "zzz", "columnpruning", "a"]
+    w = spark.createDataFrame([(f,) for f in forms], "form string").withColumn("grams", grams(spaced(F.col("form"))))
+    a = spark.createDataFrame(list(enumerate(values)), "vid bigint, v string").withColumn("grams", grams(bare(spaced(F.col("v")))))
+    got = [{(r["vid"], r["form"]): round(r["score"], 9) for r in near_entries(a, w, len(forms), 0.05, most).collect()} for most in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) > 5

@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,18 +123,68 @@ def meant(value: str, form: str) -> int | None:
     return best
 
 
-def near_entries(asked: DataFrame, wordings: DataFrame, n: int) -> DataFrame:
-    """(vid, grams) and (form, grams) → (vid, form, score): the weighted cosine of every value and entry that share a gram."""
+class Index:
+    """Inverted index of the grams of a list, whole and without vowels, for use inside Arrow batches."""
+
+    def __init__(self, forms: list[str], grams_: list[list[str]]) -> None:
+        ways = [*grams_, *([g for g in gs if g.startswith("~")] for gs in grams_)]
+        self.forms = np.array(forms, object)
+        self.number: dict[str, int] = {}
+        flat = np.array([self.number.setdefault(g, len(self.number)) for gs in ways for g in gs], np.int64)
+        owner = np.repeat(np.arange(len(ways)), [len(gs) for gs in ways])
+        order = np.argsort(flat, kind="stable")
+        self.owner, held = owner[order], np.bincount(flat, minlength=len(self.number))
+        self.starts, self.held = np.concatenate(([0], np.cumsum(held))), held
+        self.unknown = math.log(len(forms) + 1.0)
+        self.weight = np.log((len(forms) + 1.0) / np.maximum(held, 1))
+        self.norm = np.sqrt(np.bincount(owner, self.weight[flat] ** 2, len(ways)))
+
+    def near(self, asked: list[list[str]], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, entry, score) of every pair whose weighted cosine is at least `least`."""
+        n, out = len(self.forms), []
+        step = max(1, (1 << 22) // max(1, 2 * n))
+        for k in range(0, len(asked), step):
+            part = asked[k : k + step]
+            flat = np.array([self.number.get(g, -1) for gs in part for g in gs], np.int64)
+            row = np.repeat(np.arange(len(part)), [len(gs) for gs in part])
+            norm = np.sqrt(np.bincount(row, np.where(flat < 0, self.unknown, self.weight[flat]) ** 2, len(part)))
+            row, flat = row[flat >= 0], flat[flat >= 0]
+            m = self.held[flat]
+            at = np.repeat(self.starts[flat] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            dot = np.bincount(np.repeat(row, m) * 2 * n + self.owner[at], np.repeat(self.weight[flat] ** 2, m), len(part) * 2 * n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.nan_to_num(dot.reshape(len(part), 2 * n) / (norm[:, None] * self.norm)).reshape(len(part), 2, n).max(1)
+            found = np.nonzero(score >= least)
+            out.append((found[0] + k, found[1], score[found]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def near_entries(asked: DataFrame, wordings: DataFrame, n: int, least: float, most: int = BROADCAST_ENTRIES) -> DataFrame:
+    """(vid, grams) and (form, grams) → (vid, form, score): the weighted cosine of every value and entry, at least `least`.
+
+    A list of up to `most` entries is sent to every task as an inverted index, and nothing is shuffled; postings of
+    a longer one are joined.
+    """
+    if n <= most:
+        listed = wordings.select("form", "grams").toPandas()
+        shared = asked.sparkSession.sparkContext.broadcast((listed["form"].tolist(), [list(g) for g in listed["grams"]]))
+
+        def run(batches):
+            index = Index(*shared.value)
+            for b in batches:
+                row, entry, score = index.near(b["grams"].tolist(), least)
+                yield pd.DataFrame({"vid": b["vid"].to_numpy()[row], "form": index.forms[entry], "score": score})
+
+        return asked.select("vid", "grams").mapInPandas(run, "vid bigint, form string, score double")
     ways = wordings.select("form", F.lit(False).alias("thin"), "grams").unionByName(wordings.select("form", F.lit(True).alias("thin"), thin_grams(F.col("grams")).alias("grams")))
     postings = ways.select(F.struct("form", "thin").alias("form"), F.explode("grams").alias("gram"))
     weight = postings.groupBy("gram").agg(F.log(F.lit(n + 1.0) / F.count("*")).alias("w"))
     norms = postings.join(weight, "gram").groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("form_norm"))
-    small = F.broadcast if n <= BROADCAST_ENTRIES else (lambda d: d)
-    spread = asked.select("vid", F.explode("grams").alias("gram")).join(small(weight), "gram", "left").withColumn("w", F.coalesce("w", F.lit(math.log(n + 1.0))))
+    spread = asked.select("vid", F.explode("grams").alias("gram")).join(weight, "gram", "left").withColumn("w", F.coalesce("w", F.lit(math.log(n + 1.0))))
     value_norm = spread.groupBy("vid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = spread.join(small(postings), "gram").groupBy("vid", "form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    scored = dots.join(value_norm, "vid").join(small(norms), "form").withColumn("score", F.col("dot") / (F.col("norm") * F.col("form_norm")))
-    return scored.groupBy("vid", F.col("form.form").alias("form")).agg(F.max("score").alias("score"))
+    dots = spread.join(postings, "gram").groupBy("vid", "form").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    scored = dots.join(value_norm, "vid").join(norms, "form").withColumn("score", F.col("dot") / (F.col("norm") * F.col("form_norm")))
+    return scored.groupBy("vid", F.col("form.form").alias("form")).agg(F.max("score").alias("score")).where(F.col("score") >= least)
 
 
 def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.35, margin: float = 0.02) -> DataFrame:
@@ -149,11 +201,11 @@ def map_values(values: DataFrame, entries: DataFrame, threshold: float = 0.35, m
     wordings = durable(forms.select("form").distinct().withColumn("grams", grams(F.col("form"))))
     n = wordings.count()
     small = F.broadcast if n <= BROADCAST_ENTRIES else (lambda d: d)
-    scored = near_entries(asked, wordings, n)
+    scored = near_entries(asked, wordings, n, threshold - margin)
     exact = asked.join(small(wordings), asked["normal"] == wordings["form"]).select("vid", "form", F.lit(2.0).alias("score"))
     # The best two entries of a value say whether the margin is kept.
     two = F.slice(F.sort_array(F.array_agg(F.struct("score", "form")), asc=False), 1, 2)
-    best = scored.where(F.col("score") >= threshold - margin).unionByName(exact).groupBy("vid").agg(two.alias("two"))
+    best = scored.unionByName(exact).groupBy("vid").agg(two.alias("two"))
     kept = best.where((F.col("two")[0]["score"] >= threshold) & ((F.size("two") < 2) | (F.col("two")[0]["score"] - F.get("two", 1)["score"] >= margin) | (F.col("two")[0]["form"] == F.get("two", 1)["form"])))
     near = kept.select("vid", F.col("two")[0]["form"].alias("form"), F.least(F.col("two")[0]["score"], F.lit(1.0)).alias("score")).join(asked.select("vid", "normal"), "vid")
 
