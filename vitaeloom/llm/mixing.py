@@ -16,6 +16,7 @@ source that can't reach its part even so is used up to its cap, which the report
 from __future__ import annotations
 
 import base64
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,14 +36,17 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def token_counts(docs: DataFrame, text: str, vocabulary: str) -> DataFrame:
-    """Adds `tokens`, the number of tokens of the text; 0 for null."""
+    """Adds `tokens`, the number of tokens of the text; 0 for null. The vocabulary file is sent to the executors."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
     rest = [c for c in docs.columns if c != text]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
 
     def run(batches):
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as file:
+        with open(SparkFiles.get(name), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         coder = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -82,7 +86,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, tota
     """(doc_id, source, text) and (source, target_share, max_repeats) → (doc_id, source, tokens, rate, copies), documents with copies only."""
     spark = docs.sparkSession
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share is not null and max_repeats is not null").collect()}
-    used = docs.where("doc_id is not null").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "text")
+    used = docs.where("doc_id is not null").join(targets.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "text")
     counted = durable(token_counts(used, "text", vocabulary or default_tokenizer()).where("tokens > 0"))
     table = durable(counted.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     have = {r["source"]: r["t"] for r in table.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t")).collect()}
