@@ -42,6 +42,14 @@ def test_join_agrees(spark):
     assert sorted(r["cluster_id"] for r in m.tag_by_join(df, "t", forms, "i").collect()) == ["cpp", "peft", "rd"]
 
 
+def test_both_ways_of_tagging_agree(spark):
+    forms = spark.createDataFrame([(c, f) for c, fs in TAXONOMY.items() for f in fs] + [("odd", "ünder score"), ("odd", "& co"), ("none", " "), ("none", None)], "cluster_id string, form string")
+    texts = ["Fine-tuning and finetuning", "C++ or c#", "nothing", "", None, "ÜNDER  SCORE", "x and co.", *(" ".join(fs) for fs in TAXONOMY.values())]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = [{r["k"]: r["clusters"] for r in m.with_clusters(df, "t", forms, "k", most=n).collect()} for n in (0, 2_000)]
+    assert got[0] == got[1] and got[0][4] == [] and got[0][3] == [] and got[0][5] == ["odd"]
+
+
 def test_phrases_fall_back_to_vectors(spark):
     forms = spark.createDataFrame([("a", 0, "x", [1.0, 0.0]), ("a", 1, "y", [1.0, 0.0]), ("b", 0, "z", [0.0, 1.0])], "cluster_id string, form_idx int, form string, vector array<double>")
     phrases = spark.createDataFrame([(1, "LoRA", [0.0, 1.0]), (2, "unknown", [1.0, 0.0]), (3, "far", [0.6, 0.6]), (4, None, None)], "phrase_id int, phrase string, vector array<double>")

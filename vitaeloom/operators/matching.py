@@ -36,7 +36,7 @@ def compile_taxonomy(forms: DataFrame) -> dict[str, list[str]]:
     """cluster_id → its forms, read to the driver after a check of their number."""
     n = forms.where("form is not null").limit(MOST_COMPILED + 1).count()
     if n > MOST_COMPILED:
-        raise ValueError(f"more than {MOST_COMPILED} surface forms: use tag_by_join")
+        raise ValueError(f"more than {MOST_COMPILED} surface forms: use with_clusters")
     out: dict[str, list[str]] = {}
     for r in forms.where("cluster_id is not null and trim(form) <> ''").select("cluster_id", "form").distinct().orderBy("cluster_id", "form").toLocalIterator():
         out.setdefault(r["cluster_id"], []).append(r["form"])
@@ -56,17 +56,32 @@ def tag_clusters(text: Column, taxonomy: dict[str, list[str]]) -> Column:
 
 
 def tag_by_join(df: DataFrame, text: str, forms: DataFrame, *keys: str) -> DataFrame:
-    """(keys, cluster_id, first_at) for a taxonomy of any size, by a theta join with its patterns.
+    """(keys, cluster_id, first_at) for a taxonomy of any size.
 
-    Only the taxonomy is replicated, and only if Spark's own size estimate allows it.
+    Texts and forms meet by an equi-join on how their runs of letters and digits begin (up to three characters), and
+    the pattern of a form is tried only there. Forms that begin with another sign are tried on every text.
     """
     words = F.filter(F.split(F.trim("form"), r"[\s\-_]+"), lambda w: w != "")
     quoted = F.transform(words, lambda w: F.when(F.lower(w).isin("&", "and"), F.lit("(?:&|and)")).otherwise(F.regexp_replace(w, r"([.\\^$|?*+()\[\]{}&~#])", r"\\$1")))
-    patterns = forms.where("trim(form) <> ''").select("cluster_id", F.concat(F.lit("(?iU)(?<![A-Za-z0-9])(?:"), F.array_join(quoted, r"[\s\-_]*"), F.lit(")(?![A-Za-z0-9])")).alias("pattern"))
-    met = df.join(patterns, F.expr(f"regexp_instr({text}, pattern) > 0"))
+    first = F.lower(F.regexp_extract(F.trim("form"), "^[A-Za-z0-9]+", 0))
+    start = F.when((first != "") & (first != "and") & ~F.col("form").rlike(r"[^\x00-\x7F]"), F.substring(first, 1, 3)).otherwise("")
+    patterns = forms.where("trim(form) <> ''").select("cluster_id", start.alias("_start"), F.concat(F.lit("(?iU)(?<![A-Za-z0-9])(?:"), F.array_join(quoted, r"[\s\-_]*"), F.lit(")(?![A-Za-z0-9])")).alias("pattern"))
+    # Long s and the Kelvin sign equal letters when case is ignored.
+    runs = F.regexp_extract_all(F.translate(F.lower(F.col(text)), "\u017f\u212a", "sk"), F.lit("[a-z0-9]+"), F.lit(0))
+    starts = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(runs, lambda r: F.array(*[F.substring(r, 1, n) for n in (1, 2, 3)])))))
+    met = df.select(*keys, text, F.explode(starts).alias("_start")).join(patterns, "_start").where(F.expr(f"regexp_instr({text}, pattern) > 0"))
     return met.groupBy(*keys, "cluster_id").agg(F.min(F.expr(f"regexp_instr({text}, pattern)")).alias("first_at"))
 
 
+def with_clusters(df: DataFrame, text: str, forms: DataFrame, *keys: str, out: str = "clusters", most: int = MOST_COMPILED) -> DataFrame:
+    """Adds the clusters that a text names, by first mention: compiled for up to `most` forms, joined beyond. Keys tell rows apart."""
+    if forms.where("form is not null").limit(most + 1).count() <= most:
+        return df.withColumn(out, tag_clusters(F.col(text), compile_taxonomy(forms)))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_at", "cluster_id"))), lambda x: x["cluster_id"])
+    tagged = tag_by_join(df, text, forms, *keys).groupBy(*keys).agg(listed.alias(out))
+    return df.drop(out).join(tagged, list(keys), "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 class Spans:
     """All mentions of a text, for use inside Arrow batches.
 

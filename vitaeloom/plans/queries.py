@@ -19,6 +19,15 @@ def _forms(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     return matching.compile_taxonomy(table(spark, folder, "surface_forms"))
 
 
+def _tagged(spark: SparkSession, folder: str, rows: DataFrame, *keys: str) -> DataFrame:
+    return matching.with_clusters(rows, "raw_text", table(spark, folder, "surface_forms"), *keys)
+
+
+def _asked(spark: SparkSession, folder: str, unpacked: DataFrame) -> DataFrame:
+    """Requirements of jobs with the clusters of their texts."""
+    return _tagged(spark, folder, jobs.job_requirements(unpacked).drop("clusters"), "id", "req_idx")
+
+
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of resumes, each once, with their clusters."""
     rows = spread(table(spark, folder, "resume_lines"), "line_id").dropDuplicates(["line_id"])
@@ -78,13 +87,11 @@ def number_guard(spark, folder):
 
 
 def line_clusters(spark, folder):
-    tagged = _lines(spark, folder).select("line_id", F.explode(matching.tag_clusters(F.col("raw_text"), _forms(spark, folder))).alias("cluster_id"))
-    return tagged
+    return _tagged(spark, folder, _lines(spark, folder).select("line_id", "raw_text"), "line_id").select("line_id", F.explode("clusters").alias("cluster_id"))
 
 
 def line_cluster_order(spark, folder):
-    tagged = matching.tag_clusters(F.col("raw_text"), _forms(spark, folder))
-    return _lines(spark, folder).select("line_id", F.array_join(tagged, ",").alias("clusters"))
+    return _tagged(spark, folder, _lines(spark, folder).select("line_id", "raw_text"), "line_id").select("line_id", F.array_join("clusters", ",").alias("clusters"))
 
 
 def mention_counts(spark, folder):
@@ -130,7 +137,7 @@ def resume_education(spark, folder):
 
 def resume_skills(spark, folder):
     found = resume.skills(_sections(spark, folder))
-    return found.withColumn("clusters", F.array_join(matching.tag_clusters(F.col("raw_text"), _forms(spark, folder)), ","))
+    return _tagged(spark, folder, found, "resume_id", "skill_idx").withColumn("clusters", F.array_join("clusters", ","))
 
 
 def resume_projects(spark, folder):
@@ -220,17 +227,15 @@ def resume_evidence(spark, folder):
 
 
 def _job_skills(spark, folder):
-    unpacked, forms = _jobs(spark, folder), _forms(spark, folder)
-    asked = jobs.job_requirements(unpacked).withColumn("clusters", matching.tag_clusters(F.col("raw_text"), forms))
-    wanted = scoring.posting_clusters(asked.withColumnRenamed("id", "posting_id"))
+    unpacked = _jobs(spark, folder)
+    wanted = scoring.posting_clusters(_asked(spark, folder, unpacked).withColumnRenamed("id", "posting_id"))
     lines = scoring.evidence_lines(jobs.job_lines(unpacked).withColumnRenamed("id", "resume_id"))
     pairs = unpacked.select(F.col("id").alias("resume_id"), F.col("id").alias("posting_id"))
     return pairs, scoring.pair_skills(pairs, scoring.resume_clusters(lines), wanted)
 
 
 def posting_wants(spark, folder):
-    asked = jobs.job_requirements(_jobs(spark, folder)).withColumn("clusters", matching.tag_clusters(F.col("raw_text"), _forms(spark, folder)))
-    return scoring.posting_clusters(asked.withColumnRenamed("id", "posting_id"))
+    return scoring.posting_clusters(_asked(spark, folder, _jobs(spark, folder)).withColumnRenamed("id", "posting_id"))
 
 
 def overlap_scores(spark, folder):
@@ -391,9 +396,9 @@ def resume_candidate_terms(spark, folder):
 
 
 def submission_terms(spark, folder):
-    unpacked, forms = _jobs(spark, folder), _forms(spark, folder)
+    unpacked = _jobs(spark, folder)
     skills = jobs.job_lines(unpacked).where("source = 'skill'").select("id", "raw_text", "clusters")
-    asked = jobs.job_requirements(unpacked).select("id", "raw_text", matching.tag_clusters(F.col("raw_text"), forms).alias("clusters"))
+    asked = _asked(spark, folder, unpacked).select("id", "raw_text", "clusters")
     return terms.candidate_terms(skills, asked, "id")
 
 
@@ -412,8 +417,8 @@ def weighted_overlap(spark, folder):
     by_category = clusters.select("category").distinct().crossJoin(tracks).withColumn("weight", F.lit(0.3) + F.lit(0.1) * (F.length("category") % 8))
     own = clusters.where("length(cluster_id) % 2 = 0").select("cluster_id", F.lit("mle").alias("track"), F.lit(0.95).alias("weight"))
     weights = dimensions.track_weights(clusters, by_category, own)
-    unpacked, forms = _jobs(spark, folder), _forms(spark, folder)
-    asked = jobs.job_requirements(unpacked).withColumn("clusters", matching.tag_clusters(F.col("raw_text"), forms)).withColumnRenamed("id", "posting_id")
+    unpacked = _jobs(spark, folder)
+    asked = _asked(spark, folder, unpacked).withColumnRenamed("id", "posting_id")
     lines = scoring.evidence_lines(jobs.job_lines(unpacked).withColumnRenamed("id", "resume_id"))
     track = scoring.resolve_track(F.lit(None).cast("string"), F.col("inputs.jd.role_track_signal"))
     pairs = unpacked.select(F.col("id").alias("resume_id"), F.col("id").alias("posting_id"), track.alias("track"))
@@ -469,8 +474,8 @@ def rewrite_requests(spark, folder):
     """Examples for every optional requirement of a job: project bullets as strong bullets, ranked among those of a cluster in common."""
     chunks = _lines(spark, folder).where("source = 'project'").select(F.col("line_id").alias("chunk_id"), F.lit("strong_bullet").alias("kind"), "raw_text", F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
     weights = retrieval.bm25_weights(retrieval.term_counts(chunks, "chunk_id", "raw_text"), chunks, "chunk_id")
-    asked = jobs.job_requirements(_jobs(spark, folder)).where("requirement_type = 'preferred'")
-    items = asked.select("id", "req_idx", F.col("raw_text").alias("query"), F.array(F.lit("strong_bullet"), F.lit("rewrite_pair")).alias("kinds"), matching.tag_clusters(F.col("raw_text"), _forms(spark, folder)).alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
+    asked = _asked(spark, folder, _jobs(spark, folder)).where("requirement_type = 'preferred'")
+    items = asked.select("id", "req_idx", F.col("raw_text").alias("query"), F.array(F.lit("strong_bullet"), F.lit("rewrite_pair")).alias("kinds"), F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
     ranks = retrieval.filtered_ranks(items, chunks, weights, 3, "id", "req_idx")
     found = report.rewrite_context(ranks, "id", "req_idx", "guidance:density")
     return found.select("id", "req_idx", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
