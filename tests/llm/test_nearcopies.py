@@ -142,3 +142,49 @@ def test_plan_shuffles_variants_and_sequences(spark):
         module.durable = kept
     plan = seen[-1]._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+def test_variants_are_not_shuffled(spark):
+    rows = [("t", str(i), " ".join(RNG.choice(WORDS) for _ in range(150)), False) for i in range(200)]
+    rows += [("t", f"{i}x", " ".join(edit(rows[i][2].split(), 2)), False) for i in range(20)]
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        stages = jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages)
+        return {(x.stageId(), x.attemptId()): (x.shuffleWriteRecords(), x.shuffleWriteBytes()) for x in stages}
+
+    old = set(written())
+    assert len(run(spark, rows)) == 20
+    new = [x for k, x in written().items() if k not in old]
+    # Each text by its fingerprints, not by their variants; sequences of those only that met.
+    assert sum(n for n, _ in new) < 25 * len(rows) and sum(n for _, n in new) < 1500 * len(rows)
+
+
+def test_meeting_equals_brute_force(monkeypatch):
+    import vitaeloom.llm.nearcopies as module
+
+    monkeypatch.setattr(module, "COMPARED", 50)
+    monkeypatch.setattr(module, "HANDLED", 100)
+    rng = np.random.default_rng(3)
+    n, most, finer = 600, 48, module.finer_most(0.5)
+    prints = (rng.choice([-7, 3, 4, *range(100, 200)], n, p=[0.3, 0.3, 0.1, *[0.003] * 100]) << BITS) + rng.choice([0, 1, 3, 7, 8, 4095], n)
+    bases = rng.integers(-(2**63), 2**63 - 1, (4, 6))
+    sketches = bases[rng.integers(0, 4, n)] ^ (np.int64(1) << rng.integers(0, 60, (n, 6)))
+    sketches[:100, 2:] = 0
+    same = rng.integers(0, 500, n)
+    order = np.lexsort((same, prints))
+    cols = [prints[order], same[order], *sketches[order].T]
+    batches = [module.pa.RecordBatch.from_arrays([module.pa.array(c[i : i + 37]) for c in cols], [str(k) for k in range(8)]) for i in range(0, n, 37)]
+    got = {(a, b) for r in module._meet(most, finer)(iter(batches)) for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist())}
+    once = [i for i in range(n) if not i or (cols[0][i], cols[1][i]) != (cols[0][i - 1], cols[1][i - 1])]
+    bits = lambda x: bin(int(x) & 2**64 - 1).count("1")
+    want = set()
+    for i in once:
+        for j in once:
+            if cols[1][i] < cols[1][j] and cols[0][i] >> BITS == cols[0][j] >> BITS and bits(cols[0][i] ^ cols[0][j]) <= 2:
+                off = [c[i] ^ c[j] for c in cols[2:]]
+                short = not cols[4][i] or not cols[4][j]
+                if bits(off[0]) + bits(off[1]) <= most and (short or bits(off[0] | off[2] | off[4]) + bits(off[1] | off[3] | off[5]) <= finer):
+                    want.add((int(cols[1][i]), int(cols[1][j])))
+    assert {x for x in got if x[0] != x[1]} == want and want
