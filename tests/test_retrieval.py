@@ -151,3 +151,28 @@ def test_rewrite_context(spark):
     got = {(r["req"], r["item"]): r["ids"] for r in report.rewrite_context(ranks, "req", "item", "g").collect()}
     assert got == {("r", 0): [2, 3, 1], ("r", 1): [3, 4, 1], ("s", 5): [2, 1]}
     assert report.rewrite_context(ranks, "req", "item").where("item = 1").first()["ids"] == [2, 3]
+
+
+def test_equal_items_are_ranked_once_within_their_clusters(spark):
+    held = [(f"c{i:03}", "ab"[i % 2], [["x"], ["y"], ["x", "y"], [], None, ["x", None]][i % 6], [None, "lever"][i % 5 == 0], f"made some w{i % 7} {'w3 ' * (i % 3)}") for i in range(240)]
+    chunks = spark.createDataFrame(held, "chunk_id string, kind string, cluster_ids array<string>, platform string, text string")
+    weights = v.bm25_weights(v.term_counts(chunks, "chunk_id", "text"), chunks, "chunk_id")
+    forms = [("some w3", ["a"], ["y", "x"], None), ("some w3 w3", ["a", "b"], ["y"], None), ("some made w1", [], [], "lever"), ("w2", ["b"], ["z"], None), ("some w3", ["a"], ["x"], None), ("", [], [], None), (None, [], [], None)]
+    asked = [(n, k, *forms[n % 7]) for n in range(140) for k in (0, 1)]
+    items = spark.createDataFrame(asked, "req int, item int, query string, kinds array<string>, cluster_ids array<string>, platform string")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages)}
+
+    weight = {(r["chunk_id"], r["term"]): r["weight"] for r in weights.collect()}
+    old = set(written())
+    got = {(r["req"], r["item"], r["rank"]): (r["chunk_id"], r["score"]) for r in v.filtered_ranks(items, chunks, weights, 3, "req", "item").collect()}
+    assert sum(n for k, n in written().items() if k not in old) < 12_000
+    want = {}
+    for req, item, query, kinds, clusters, platform in asked:
+        fits = [c for c, kind, own, place, _ in held if (not kinds or kind in kinds) and (not clusters or set(clusters) & set(own or ()) - {None}) and platform in (None, place)]
+        scores = sorted((-round(sum(weight.get((c, t), 0) for t in (query or "").split()), 9), c) for c in fits)
+        want |= {(req, item, i + 1): (c, -s) for i, (s, c) in enumerate([x for x in scores if x[0] < 0][:3])}
+    assert {k: (c, round(s, 6)) for k, (c, s) in got.items()} == {k: (c, round(s, 6)) for k, (c, s) in want.items()}

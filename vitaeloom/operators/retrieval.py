@@ -77,16 +77,30 @@ def filtered_ranks(items: DataFrame, chunks: DataFrame, weights: DataFrame, most
 
     A chunk is a candidate if its kind is listed, a cluster is shared and the platform is equal; an empty
     list and a null platform ask for nothing. Candidates are chosen before ranking, statistics cover all chunks.
+    Items that ask the same are ranked once, and terms meet only among the chunks of a cluster asked for.
     """
-    asked = items.select(*keys, F.explode(terms(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
-    scored = asked.join(weights, "term").groupBy(*keys, "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score")).where("score > 0")
+    asks = ["query", "kinds", "cluster_ids", "platform"]
+    items = durable(items.select(*keys, *asks))
+    # Numbers are fixed by the checkpoint.
+    asked = durable(items.select(*asks).distinct().withColumn("_ask", F.monotonically_increasing_id()))
+    # A place is a cluster, or the whole collection for those that ask for none.
+    whole, within = F.array(F.struct(F.lit(True).alias("whole"), F.lit("").alias("cluster"))), lambda c: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("cluster")))
+    places = F.when(F.size("cluster_ids") == 0, whole).otherwise(within(F.col("cluster_ids")))
+    words = asked.select("_ask", F.explode(terms(F.col("query"))).alias("term")).groupBy("_ask", "term").agg(F.count("*").alias("times"))
+    wanted = words.join(asked.select("_ask", "kinds", "cluster_ids", "platform", F.explode(places).alias("_place")), "_ask")
     held = chunks.select("chunk_id", F.col("kind").alias("_kind"), F.col("cluster_ids").alias("_clusters"), F.col("platform").alias("_platform"))
-    met = scored.join(held, "chunk_id").join(items.select(*keys, "kinds", "cluster_ids", "platform"), list(keys))
-    fits = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("_kind"))
-    fits &= (F.size("cluster_ids") == 0) | F.arrays_overlap("cluster_ids", "_clusters")
+    held = held.withColumn("_place", F.explode(F.concat(whole, F.coalesce(within(F.col("_clusters")), F.array().cast("array<struct<whole:boolean,cluster:string>>")))))
+    met = wanted.join(weights.join(held, "chunk_id"), ["term", "_place"])
+    # A chunk that shares several clusters counts in the first of them.
+    several = (F.size("cluster_ids") > 1) & (F.size("_clusters") > 1)
+    fits = ~several | (F.array_min(F.array_intersect("cluster_ids", "_clusters")) == F.col("_place.cluster"))
+    fits &= (F.size("kinds") == 0) | F.array_contains("kinds", F.col("_kind"))
     fits &= F.col("platform").isNull() | (F.col("platform") == F.col("_platform"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id"))
-    return met.where(fits).select(*keys, "chunk_id", "score", rank.alias("rank")).where(F.col("rank") <= most)
+    scored = met.where(fits).groupBy("_ask", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 9).alias("score")).where("score > 0")
+    ranked = _ranked(scored, "_ask", "chunk_id", "score", most)
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"a.{c}")) for c in asks]
+    numbered = items.alias("i").join(asked.alias("a"), same).select(*[F.col(f"i.{k}") for k in keys], "a._ask")
+    return durable(numbered.join(ranked, "_ask").select(*keys, "chunk_id", "score", "rank"))
 
 
 def dense_ranks(queries: DataFrame, docs: DataFrame, query: str, key: str, vector: str = "vector", most: int = CANDIDATES, digits: int = 9) -> DataFrame:

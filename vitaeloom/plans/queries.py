@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitaeloom.functions import text as tx
 from vitaeloom.operators import checks, embed, jobs, matching, posting, report, resume, retrieval, scoring, sections, terms
-from vitaeloom.session import spread, table
+from vitaeloom.session import durable, spread, table
 from vitaeloom.sources import dimensions
 from vitaeloom.streaming import limiter
 
@@ -472,7 +472,7 @@ def client_keys(spark, folder):
 
 def rewrite_requests(spark, folder):
     """Examples for every optional requirement of a job: project bullets as strong bullets, ranked among those of a cluster in common."""
-    chunks = _lines(spark, folder).where("source = 'project'").select(F.col("line_id").alias("chunk_id"), F.lit("strong_bullet").alias("kind"), "raw_text", F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
+    chunks = durable(_lines(spark, folder).where("source = 'project'").select(F.col("line_id").alias("chunk_id"), F.lit("strong_bullet").alias("kind"), "raw_text", F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform")))
     weights = retrieval.bm25_weights(retrieval.term_counts(chunks, "chunk_id", "raw_text"), chunks, "chunk_id")
     asked = _asked(spark, folder, _jobs(spark, folder)).where("requirement_type = 'preferred'")
     items = asked.select("id", "req_idx", F.col("raw_text").alias("query"), F.array(F.lit("strong_bullet"), F.lit("rewrite_pair")).alias("kinds"), F.col("clusters").alias("cluster_ids"), F.lit(None).cast("string").alias("platform"))
@@ -503,5 +503,5 @@ def layout_margins(spark, folder):
 
 
 def all_queries():
-    skip = {"all_queries", "table", "spread"}
+    skip = {"all_queries", "durable", "table", "spread"}
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
